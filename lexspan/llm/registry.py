@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["cutoffs", "splits", "encoding", "mixing", "neardup"]
+MODULES = ["sentences", "cutoffs", "splits", "neardup", "template", "encoding", "mixing"]
 
 
 def collect(attribute: str) -> dict:
