@@ -182,8 +182,8 @@ def sample_documents(docs: DataFrame, text_column: str, lang_column: str, per_la
 def fit_centroids(sample: list[tuple[str, str | None, float]], clusters: int = CLUSTERS, rounds: int = ROUNDS, most: int = 12_000) -> Centroids:
     """Cluster the sample's segments around the labels' means and name each cluster by its documents' labels."""
     rng = np.random.default_rng(SEED)
-    texts, codes, stands = [], [], []
-    for text, code, weight in sample:
+    texts, codes, stands, owners = [], [], [], []
+    for number, (text, code, weight) in enumerate(sample):
         parts = [b for _, b in blocks(text) if len(b) >= 50]
         if len(parts) == 1 and len(parts[0]) > 600:
             whole = parts[0]
@@ -192,9 +192,10 @@ def fit_centroids(sample: list[tuple[str, str | None, float]], clusters: int = C
             texts.append(parts[p])
             codes.append(code)
             stands.append(weight)
+            owners.append(number)
     if len(texts) > most:
         pick = rng.permutation(len(texts))[:most]
-        texts, codes, stands = [texts[i] for i in pick], [codes[i] for i in pick], [stands[i] for i in pick]
+        texts, codes, stands, owners = ([x[i] for i in pick] for x in (texts, codes, stands, owners))
     names = sorted({c for c in codes if c})
     if not names:
         return Centroids(np.zeros((SPACE, 0), np.float32), np.zeros(SPACE, np.float32), [], np.zeros(0))
@@ -213,42 +214,63 @@ def fit_centroids(sample: list[tuple[str, str | None, float]], clusters: int = C
             out[gram[starts[i] : starts[i + 1]]] += w[starts[i] : starts[i + 1]]
         return out / (np.linalg.norm(out) + 1e-9)
 
-    code_of = np.array([names.index(c) if c else -1 for c in codes])
-    seeds = []
-    for k in range(len(names)):
-        members = rng.permutation(np.flatnonzero(code_of == k))
-        seeds += [mean(part) for part in np.array_split(members, min(clusters, max(1, len(members) // 8))) if len(part)]
-    cents = np.array(seeds).T
     nonempty = np.flatnonzero(starts[1:] > starts[:-1])
-    place = np.zeros(n, np.int64)
-    for _ in range(rounds):
+
+    def cosines(cents: np.ndarray) -> np.ndarray:
         dots = np.zeros((n, cents.shape[1]), np.float32)
         for lo in range(0, len(nonempty), 1000):
             part = nonempty[lo : lo + 1000]
             a, b = starts[part[0]], starts[part[-1] + 1]
-            inside = (starts[part] - a).astype(np.int64)
-            dots[part] = np.add.reduceat(cents[gram[a:b]] * w[a:b, None], inside, axis=0)
-        place = dots.argmax(axis=1)
-        kept = [np.flatnonzero((place == k)) for k in range(cents.shape[1])]
-        kept = [m for m in kept if len(m) >= min(5, max(1, n // 50))]
+            dots[part] = np.add.reduceat(cents[gram[a:b]] * w[a:b, None], (starts[part] - a).astype(np.int64), axis=0)
+        return dots
+
+    def cluster(members: np.ndarray, groups: int) -> list[np.ndarray]:
+        parts = np.array_split(rng.permutation(members), min(groups, max(1, len(members) // 8)))
+        return [mean(p) for p in parts if len(p)]
+
+    code_of = np.array([names.index(c) if c else -1 for c in codes])
+    cents = np.array([m for k in range(len(names)) for m in cluster(np.flatnonzero(code_of == k), clusters)]).T
+    place = np.zeros(n, np.int64)
+    for _ in range(rounds):
+        place = cosines(cents).argmax(axis=1)
+        kept = [m for k in range(cents.shape[1]) if len(m := np.flatnonzero(place == k)) >= min(5, max(1, n // 50))]
         cents = np.array([mean(m) for m in kept]).T
-    weight = np.array(stands)
-    langs, bars, chosen = [], [], []
-    for k, members in sorted(enumerate(kept), key=lambda x: -weight[x[1]].sum()):
+    # Clusters are named by the votes of their documents' labels, each counting for the documents it stands for.
+    weight, voted = np.array(stands), []
+    for members in kept:
         votes: Counter = Counter()
         for i in members:
             if codes[i]:
                 votes[codes[i]] += weight[i]
-        if not votes:
-            continue
-        code, won = votes.most_common(1)[0]
-        if won < 0.5 * sum(votes.values()) or langs.count(code) >= clusters:
+        code, won = votes.most_common(1)[0] if votes else (None, 0)
+        voted.append(code if code and won >= 0.5 * sum(votes.values()) else None)
+    found = sorted({c for c in voted if c})
+    if not found:
+        return Centroids(np.zeros((SPACE, 0), np.float32), idf, [], np.zeros(0))
+    dots = cosines(cents)
+    by = np.stack([dots[:, [k for k, c in enumerate(voted) if c == code]].max(axis=1) for code in found], axis=1)
+    # A segment between two languages follows the rest of its document.
+    sums = np.zeros((len(sample), len(found)), np.float32)
+    np.add.at(sums, owners, by)
+    own = by.argmax(axis=1)
+    rest = sums.argmax(axis=1)[owners]
+    own = np.where(by[np.arange(n), rest] >= 0.75 * by[np.arange(n), own], rest, own)
+    out, langs, bars = [], [], []
+    for k, code in enumerate(found):
+        members = np.intersect1d(np.flatnonzero(own == k), nonempty)
+        if not len(members):
             continue
-        near = [float((cents[gram[starts[i] : starts[i + 1]], k] * w[starts[i] : starts[i + 1]]).sum()) for i in members]
-        langs.append(code)
-        bars.append(REJECT * float(np.mean(near)))
-        chosen.append(k)
-    return Centroids(np.ascontiguousarray(cents[:, chosen], np.float32), idf, langs, np.array(bars, np.float32))
+        inner = np.array(cluster(members, clusters)).T
+        for _ in range(3):
+            near = cosines(inner)[members]
+            inner = np.array([mean(members[near.argmax(axis=1) == j]) if (near.argmax(axis=1) == j).any() else inner[:, j] for j in range(inner.shape[1])]).T
+        near = cosines(inner)[members]
+        for j in range(inner.shape[1]):
+            mine = near[near.argmax(axis=1) == j, j]
+            out.append(inner[:, j])
+            langs.append(code)
+            bars.append(REJECT * float(mine.mean()) if len(mine) else 1.0)
+    return Centroids(np.ascontiguousarray(np.array(out).T, np.float32), idf, langs, np.array(bars, np.float32))
 
 
 def without_quotations(text: str) -> str:
