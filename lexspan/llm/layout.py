@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 TAG = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -11,6 +12,8 @@ MARKER = re.compile(r"(?:[-*•‣▪]|\d{1,3}[.)]|\([A-Za-z0-9]{1,3}\)|[a-z]\))
 _WORD = re.compile(r"\S+")
 #: Widest line of hard-wrapped text.
 WIDEST = 100
+#: Characters by which later edits may have changed a wrapped line.
+SLACK = 3
 
 
 def blank_tags(text: str) -> str:
@@ -31,18 +34,30 @@ def blank_tags(text: str) -> str:
 
 
 def _width(lines: list[str]) -> int:
-    """The width at which the lines are wrapped, 0 if they are not."""
-    widest = max(map(len, lines), default=0)
-    if not 30 <= widest <= WIDEST:
-        return 0
-    proofs = 0
+    """The width at which the lines are wrapped, 0 if they are not.
+
+    A line of some length that ends in a word, before one that goes on in small letters, shows the width. In scripts
+    without capitals only lines of nearly the same length show one.
+    """
+    cased, caseless, width = [], [], 0
     for a, b in zip(lines, lines[1:]):
-        if len(a) < widest - 25 or not b:
+        if not 40 <= len(a) <= WIDEST or not b or not (a[-1].isalnum() or a[-1] in ",;-'\"" or _marks(a[-1])):
             continue
-        word = _WORD.match(b)
-        if word and len(a) + 1 + len(word.group()) > widest and a[-1].isalnum() | (a[-1] == ",") and (b[0].islower() or not b[0].isupper() and b[0].isalpha()):
-            proofs += 1
-    return widest if proofs else 0
+        if b[0].islower():
+            cased.append(len(a))
+        elif b[0].isalpha() and not b[0].isupper():
+            caseless.append(len(a))
+    if cased:
+        width = max(cased) if len(cased) > 1 or max(cased) >= 60 else 0
+    elif len(caseless) > 1 and sum(x > max(caseless) - 20 for x in caseless) >= 0.6 * len(caseless):
+        width = max(caseless)
+    # Wrapped text has hardly a longer line.
+    beyond = sum(len(x) > width + 15 for x in lines)
+    return width if beyond <= 0.05 * len(lines) else 0
+
+
+def _marks(c: str) -> bool:
+    return unicodedata.category(c)[0] == "M"
 
 
 def blocks(text: str) -> Iterator[tuple[int, str]]:
@@ -65,7 +80,7 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
             if held:
                 yield start, held
                 held = ""
-        elif held and width and (word := _WORD.match(bare)) and len(last) + 1 + len(word.group()) > width and not MARKER.match(bare):
+        elif held and width and (word := _WORD.match(bare)) and width - SLACK < len(last) + 1 + len(word.group()) and len(last) <= width + 8 and not MARKER.match(bare):
             held = text[start : at + len(line)]
             last = bare
         else:
