@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sentences", "cutoffs", "splits", "languages", "neardup", "template", "encoding", "mixing"]
+MODULES = ["sentences", "cutoffs", "splits", "languages", "neardup", "template", "encoding", "mixing", "subjects"]
 
 
 def collect(attribute: str) -> dict:
