@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["orphans", "relational", "spans"]
+MODULES = ["orphans", "relational", "spans", "metrics", "datasets"]
 
 
 def collect(attribute: str) -> dict:

@@ -138,7 +138,7 @@ def cases_of_sentences(t: Tables) -> DataFrame:
 SELECT o.case_id, s.doc_id, s.sent_idx, bool_or(o.lo < s.sent_end AND (o.hi IS NULL OR o.hi > s.sent_start)) masked FROM off o JOIN sents s ON s.doc_id = o.document_id GROUP BY 1, 2, 3""")
 def masked_sentences(t: Tables) -> DataFrame:
     off = t.current_points(["id", "case_id", "document_id", "status", "quote_start", "quote_end"]).where("status = 'declined' AND quote_start IS NOT NULL AND document_id IS NOT NULL AND case_id IS NOT NULL")
-    off = off.groupBy("case_id", F.col("document_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("quote_start").alias("lo"), F.col("quote_end").alias("hi"))).alias("off"))
+    off = off.groupBy("case_id", F.col("document_id").alias("doc_id")).agg(F.collect_set(F.struct(F.col("quote_start").alias("lo"), F.col("quote_end").alias("hi"))).alias("off"))
     rows = sentences(t.documents).join(off, "doc_id")
     hit = F.exists("off", lambda o: (o["lo"] < F.col("sent_end")) & (o["hi"].isNull() | (o["hi"] > F.col("sent_start"))))
     return rows.select("case_id", "doc_id", "sent_idx", hit.alias("masked"))
@@ -156,7 +156,7 @@ x AS (SELECT case_id, document_id, r, unnest(range(0, n)) s FROM n)
 SELECT case_id, document_id, count(*) FILTER (WHERE len(list_filter(r, lambda o: s >= o.lo - 2 AND s < o.hi)) = 0) free FROM x GROUP BY 1, 2""")
 def free_starts(t: Tables) -> DataFrame:
     """Starts of windows of two sentences that touch no approved span, per case and document."""
-    rows = stretched(t).where("status = 'approved' AND num_doc_sents > 0 AND case_id IS NOT NULL").groupBy("case_id", "document_id", "num_doc_sents").agg(F.collect_list(F.struct(F.col("idx_start").alias("lo"), F.col("idx_end").alias("hi"))).alias("r"))
+    rows = stretched(t).where("status = 'approved' AND num_doc_sents > 0 AND case_id IS NOT NULL").groupBy("case_id", "document_id", "num_doc_sents").agg(F.collect_set(F.struct(F.col("idx_start").alias("lo"), F.col("idx_end").alias("hi"))).alias("r"))
     free = F.filter(F.sequence(F.lit(0), F.col("num_doc_sents") - 1), lambda s: ~F.exists("r", lambda o: (s >= o["lo"] - 2) & (s < o["hi"])))
     return rows.select("case_id", "document_id", F.size(free).cast("long").alias("free"))
 
