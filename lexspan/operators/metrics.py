@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexspan.operators.running import running_sums
+
+#: Slots of a unit of score by which running counts are taken.
+SLOTS = 4096
+
 
 def pr_curve(rows: DataFrame, group: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """(group, threshold, tp, fp, positives, negatives, precision, recall) at every distinct score.
+    """(group, threshold, new_tp, new_fp, tp, fp, positives, negatives, precision, recall) at every distinct score.
 
     A row counts as found if its score is at or above the threshold. Null scores and labels are left out; recall is 0
     without positives. Rows are counted per score before anything is ordered, so ties and hot scores cost one row.
     """
-    per = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*group, F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    down, whole = W.partitionBy(*group).orderBy(F.desc("threshold")), W.partitionBy(*group)
-    tp, n = F.sum("_p").over(down), F.sum("_n").over(down)
-    all_p, all_n = F.sum("_p").over(whole), F.sum("_n").over(whole)
-    out = per.select(*group, "threshold", tp.alias("tp"), (n - tp).alias("fp"), all_p.alias("positives"), (all_n - all_p).alias("negatives"))
+    per = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*group, F.col(score).alias("threshold")).agg(F.sum(F.col(label).cast("long")).alias("new_tp"), F.count(F.lit(1)).alias("_n"))
+    per = per.withColumn("new_fp", F.col("_n") - F.col("new_tp")).drop("_n")
+    slot = F.floor(F.col("threshold") * SLOTS)
+    out = running_sums(per, group, [F.desc("threshold")], slot, True, {"new_tp": "tp", "new_fp": "fp"}, {"new_tp": "positives", "new_fp": "negatives"})
     precision = F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 9)
     recall = F.when(F.col("positives") > 0, F.round(F.col("tp") / F.col("positives"), 9)).otherwise(F.lit(0.0))
     return out.withColumn("precision", precision).withColumn("recall", recall)
@@ -38,18 +42,15 @@ def best_threshold(curve: DataFrame, group: list[str], beta: float = 1.0) -> Dat
 
 def roc_auc(rows: DataFrame, group: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """(group, auc): the share of pairs of a positive and a negative in the right order, ties by half; null without pairs."""
-    curve = pr_curve(rows, group, score, label)
-    down = W.partitionBy(*group).orderBy(F.desc("threshold"))
-    tp0, fp0 = F.lag("tp", 1, 0).over(down), F.lag("fp", 1, 0).over(down)
-    area = (F.col("fp") - fp0) * (F.col("tp") + tp0)
-    summed = curve.withColumn("_a", area).groupBy(*group).agg(F.sum("_a").alias("_a"), F.max("positives").alias("_p"), F.max("negatives").alias("_n"))
+    # The trapezium between a score and the next higher one.
+    area = F.col("new_fp") * (2 * F.col("tp") - F.col("new_tp"))
+    summed = pr_curve(rows, group, score, label).withColumn("_a", area).groupBy(*group).agg(F.sum("_a").alias("_a"), F.max("positives").alias("_p"), F.max("negatives").alias("_n"))
     return summed.select(*group, F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.round(F.col("_a") / (2.0 * F.col("_p") * F.col("_n")), 6)).alias("auc"))
 
 
 def average_precision(curve: DataFrame, group: list[str]) -> DataFrame:
     """(group, ap): the sum of precisions weighted by the gain in recall."""
-    gain = F.col("tp") - F.lag("tp", 1, 0).over(W.partitionBy(*group).orderBy(F.desc("threshold")))
-    per = curve.withColumn("_g", gain).groupBy(*group).agg(F.sum(F.col("_g") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_s"), F.max("positives").alias("_p"))
+    per = curve.groupBy(*group).agg(F.sum(F.col("new_tp") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_s"), F.max("positives").alias("_p"))
     return per.select(*group, F.when(F.col("_p") > 0, F.round(F.col("_s") / F.col("_p"), 6)).otherwise(F.lit(0.0)).alias("ap"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import blank_tags, blank_tags_sql, is_blank
+from lexspan.operators.running import running_sums
 from lexspan.plans.common import CUR, DELETED, SVC, Registry, Tables, deleted
 
 R = Registry()
@@ -344,10 +345,11 @@ def run_keys(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.unix_timestamp("ts").alias("run_key"))
 
 
-@R.add("WN11_points_over_time", f"WITH {CUR} SELECT id, status, count(*) OVER (PARTITION BY status, date_trunc('year', created_at) ORDER BY created_at RANGE UNBOUNDED PRECEDING) n FROM cur")
+@R.add("WN11_points_over_time", f"WITH {CUR}, c AS (SELECT status, created_at, count(*) k FROM cur GROUP BY 1, 2) SELECT status, created_at, CAST(sum(k) OVER (PARTITION BY status ORDER BY created_at NULLS FIRST) AS BIGINT) n FROM c")
 def points_over_time(t: Tables) -> DataFrame:
-    w = W.partitionBy("status", F.date_trunc("year", "created_at")).orderBy("created_at").rangeBetween(W.unboundedPreceding, 0)
-    return t.current_points(["id", "status", "created_at"]).select("id", "status", F.count(F.lit(1)).over(w).alias("n"))
+    """How many points of each status there are by each time at which one came."""
+    per = t.current_points(["id", "status", "created_at"]).groupBy("status", "created_at").agg(F.count(F.lit(1)).alias("k"))
+    return running_sums(per, ["status"], [F.asc_nulls_first("created_at")], F.date_trunc("day", "created_at"), False, {"k": "n"}).select("status", "created_at", "n")
 
 
 @R.add("WN12_length_histogram", "SELECT source, CAST(floor(n_chars / 250) AS BIGINT) bin, count(*) n FROM documents WHERE n_chars IS NOT NULL GROUP BY 1, 2")
