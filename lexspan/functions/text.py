@@ -60,5 +60,7 @@ def sentence_list(text: Column | str) -> Column:
 def word_ngrams(text: Column | str) -> Column:
     """Words of letters and digits in lower case, and pairs of neighbouring words."""
     words = F.regexp_extract_all(F.lower(col(text)), F.lit(r"[a-z0-9]+"), F.lit(0))
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))).otherwise(F.array().cast("array<string>"))
+    # Not by index: inside a lambda the list of words would be made anew for every word.
+    left, right = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words))
+    pairs = F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, pairs)
