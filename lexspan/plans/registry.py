@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["orphans", "relational", "spans", "metrics", "datasets", "search", "tfidf"]
+MODULES = ["orphans", "relational", "spans", "metrics", "datasets", "search", "tfidf", "files"]
 
 
 def collect(attribute: str) -> dict:
