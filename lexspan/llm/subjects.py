@@ -25,7 +25,7 @@ from lexspan.llm.sentences import unit_starts
 from lexspan.sources.tables import table
 
 #: Labelled documents in the sample for each language named by documents.lang (and as many without a usable label).
-SAMPLE = 700
+SAMPLE = 400
 #: A term's least evidence in nats, share of its subject, documents and services.
 EVIDENCE, SHARE, LEAST = 5.0, 0.5, 3
 #: Combinations kept while decoding; most subjects of a document.
