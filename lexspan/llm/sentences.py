@@ -108,20 +108,24 @@ def _ends(block: str, m: re.Match, quotes: list[tuple[int, int]], thai: bool) ->
     if block[p + 1 : q]:
         return True
     low = word.lower()
+    if "'" in low or "’" in low:
+        low = re.split("['’]", low)[-1]
     caseless = r.isalpha() and not r.isupper() and not r.islower()
+    if "ऀ" <= r <= "ॿ" or "ऀ" <= word[-1:] <= "ॿ":
+        return False
     if thai and caseless:
         return low in ("กม", "ฯลฯ") and _opens(block, k)
     if low in OPEN_ABBREVIATIONS:
         # A name such as "No. Our" is rarer than "No. 5": a capital function word still opens a sentence.
         return low == "no" and not r.isdigit() and word == "no"
     if low in CLOSE_ABBREVIATIONS:
+        if word == "inc" and r.isdigit():
+            return False
         if low in ("v", "a") and block[max(0, p - 4) : p - 1].lower() not in ("e. ", " e.", ". ") and not block[max(0, p - 3) : p].lower().startswith(("e.", "u.")):
             return False
         return r.isupper() or camel or r in "\"“„«¿¡「" or (r.isdigit() and low not in ("ff", "f"))
     if len(word) == 1 and word.isalpha():
         return False if not _is_spaceless(word) else True
-    if "ऀ" <= r <= "ॿ":
-        return False
     if "." in word and not any(x in word for x in "@/") and all(len(x) <= 2 for x in word.split(".")) and word[:1].isalpha():
         return r.isupper() and word[:1].islower()
     if word.isdigit():
@@ -134,6 +138,7 @@ def _ends(block: str, m: re.Match, quotes: list[tuple[int, int]], thai: bool) ->
 
 
 _WORD_AT = re.compile(r"\w+")
+_ALNUM = re.compile(r"[^\W_]")
 _MENU = re.compile(r"\S\s*[|·»/]\s*\S+\s*[|·»/]\s|\S {3,}\S+ {3,}\S")
 
 
@@ -269,7 +274,7 @@ def unit_starts(text: str) -> list[int]:
                 k = m.end()
                 while k < size and block[k].isspace():
                     k += 1
-                if k < size:
+                if k < size and (block[k].isalnum() or _ALNUM.search(block, k)):
                     found.append(k)
         if one_line:
             items = _items(block)
