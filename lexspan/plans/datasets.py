@@ -56,7 +56,7 @@ def rebalance(t: Tables) -> DataFrame:
     x = t.current_points(["id", "case_id", "status"]).where("case_id IS NOT NULL").select("id", "case_id", F.when(F.col("status") == "approved", 1).otherwise(0).alias("label"))
     ranked = hash_rank(x, ["case_id", "label"], "balance", ["id"])
     n = x.groupBy("case_id").agg(F.sum("label").alias("_pos"), F.sum(1 - F.col("label")).alias("_neg"))
-    wanted = F.least(F.lit(2), F.floor(F.col("_neg") / F.col("_pos"))) * F.col("_pos")
+    wanted = F.least(F.lit(2), F.coalesce(F.floor(F.try_divide("_neg", "_pos")), F.lit(0))) * F.col("_pos")
     return ranked.join(n, "case_id").where((F.col("label") == 1) | ((F.col("_pos") > 0) & (F.col("rank0") < wanted))).select("id", "case_id", "label")
 
 

@@ -120,7 +120,7 @@ fr AS (SELECT setup_id, fold, threshold, "precision", recall, round((negatives -
   WHERE before IS NULL OR "precision" > before OR (n1 = 1 AND round(abs(recall - 1.0), 9) <= 0.02) OR (n2 = 1 AND round(abs(recall - 0.95), 9) <= 0.02)),
 tg(target) AS (VALUES (1.0::DOUBLE), (0.95::DOUBLE)),
 fm AS (SELECT setup_id, fold, target, threshold, filter_rate FROM fr, tg WHERE recall >= target QUALIFY row_number() OVER (PARTITION BY setup_id, fold, target ORDER BY recall, "precision" DESC, threshold) = 1),
-sm AS (SELECT setup_id, target, count(*) folds, round(avg(filter_rate), 6) mean_filter_rate, round(stddev_pop(threshold) / avg(threshold), 6) threshold_cv, round(avg(threshold) - 0.2 * stddev_pop(threshold), 6) final_threshold FROM fm GROUP BY 1, 2)"""
+sm AS (SELECT setup_id, target, count(*) folds, round(avg(filter_rate), 6) mean_filter_rate, round(stddev_pop(threshold) / nullif(avg(threshold), 0), 6) threshold_cv, round(avg(threshold) - 0.2 * stddev_pop(threshold), 6) final_threshold FROM fm GROUP BY 1, 2)"""
 
 
 def trials(t: Tables) -> DataFrame:
@@ -145,7 +145,7 @@ def first_meeting(t: Tables) -> DataFrame:
 
 def stability(t: Tables) -> DataFrame:
     mean, dev = F.avg("threshold"), F.stddev_pop("threshold")
-    return first_meeting(t).groupBy("setup_id", "target").agg(F.count(F.lit(1)).alias("folds"), F.round(F.avg("filter_rate"), 6).alias("mean_filter_rate"), F.round(dev / mean, 6).alias("threshold_cv"), F.round(mean - 0.2 * dev, 6).alias("final_threshold"))
+    return first_meeting(t).groupBy("setup_id", "target").agg(F.count(F.lit(1)).alias("folds"), F.round(F.avg("filter_rate"), 6).alias("mean_filter_rate"), F.round(F.try_divide(dev, mean), 6).alias("threshold_cv"), F.round(mean - 0.2 * dev, 6).alias("final_threshold"))
 
 
 @R.add("OP17_pareto_frontier", f"WITH {TRIALS} SELECT * FROM fr")
@@ -163,7 +163,7 @@ def threshold_stability(t: Tables) -> DataFrame:
     return stability(t)
 
 
-@R.add("OP19_selected_setup", f"WITH {TRIALS} SELECT setup_id, final_threshold, round(mean_filter_rate + 1 - threshold_cv, 6) score, threshold_cv < 0.2 stable FROM sm WHERE target = 1.0 ORDER BY mean_filter_rate + 1 - threshold_cv DESC, setup_id LIMIT 1")
+@R.add("OP19_selected_setup", f"WITH {TRIALS} SELECT setup_id, final_threshold, round(mean_filter_rate + 1 - threshold_cv, 6) score, threshold_cv < 0.2 stable FROM sm WHERE target = 1.0 ORDER BY round(mean_filter_rate + 1 - threshold_cv, 6) DESC NULLS LAST, setup_id LIMIT 1")
 def selected_setup(t: Tables) -> DataFrame:
     score = F.round(F.col("mean_filter_rate") + 1 - F.col("threshold_cv"), 6)
-    return stability(t).where("target = 1.0").select("setup_id", "final_threshold", score.alias("score"), (F.col("threshold_cv") < 0.2).alias("stable")).orderBy(F.desc("score"), "setup_id").limit(1)
+    return stability(t).where("target = 1.0").select("setup_id", "final_threshold", score.alias("score"), (F.col("threshold_cv") < 0.2).alias("stable")).orderBy(F.desc_nulls_last("score"), "setup_id").limit(1)
