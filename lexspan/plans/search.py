@@ -159,7 +159,7 @@ def corrected_spans(t: Tables) -> DataFrame:
     return spans.join(fixes, ["case_id", "source", "document_id", "char_start"], "left").select("case_id", "document_id", "char_start", "char_end", "source", label.alias("label"))
 
 
-@R.add("OP30_review_list", f"""WITH {SPANS} SELECT case_id, document_id, char_start, char_end, source, round_even(pred, 3) pred, 'documents/' || document_id link,
+@R.add("OP30_review_list", f"""WITH {SPANS} SELECT case_id, document_id, char_start, char_end, source, pred, 'documents/' || document_id link,
 CAST(row_number() OVER (PARTITION BY case_id, source ORDER BY CASE WHEN source = 'approved' THEN pred ELSE -pred END, document_id, char_start, char_end, label, fold) AS INTEGER) place FROM y WHERE CASE WHEN source = 'approved' THEN pred < 0.97 ELSE pred > 0.03 END""")
 def review_list(t: Tables) -> DataFrame:
     """Spans the model is not sure of, the least expected first: approved ones by rising, the others by falling score."""
@@ -167,7 +167,7 @@ def review_list(t: Tables) -> DataFrame:
     order = F.when(F.col("source") == "approved", F.col("pred")).otherwise(-F.col("pred"))
     by = [order.asc(), *[F.col(c).asc() for c in ("document_id", "char_start", "char_end", "label")], F.asc_nulls_last("fold")]
     placed = running_sums(rows.withColumn("_one", F.lit(1)), ["case_id", "source"], by, order, False, {"_one": "place"})
-    return placed.select("case_id", "document_id", "char_start", "char_end", "source", F.bround("pred", 3).alias("pred"), F.concat(F.lit("documents/"), F.col("document_id").cast("string")).alias("link"), F.col("place").cast("int").alias("place"))
+    return placed.select("case_id", "document_id", "char_start", "char_end", "source", "pred", F.concat(F.lit("documents/"), F.col("document_id").cast("string")).alias("link"), F.col("place").cast("int").alias("place"))
 
 
 @R.add("NUM1_softmax", f"WITH {SPANS} SELECT case_id, document_id, char_start, char_end, label, source, fold, round(exp(pred) / (exp(1 - pred) + exp(pred)), 6) positive FROM y")
