@@ -278,10 +278,10 @@ def unit_starts(text: str) -> list[int]:
                     found.append(k)
         if one_line:
             items = _items(block)
-            if items:
+            if items or marker:
                 found += items
                 stops = sorted({*found, size})
-                for i in items:
+                for i in [*([lead] if marker else []), *items]:
                     end = next(s for s in stops if s > i)
                     o = _OPENER.search(block, i + 12, end)
                     if o and not any(a < o.start() < b for a, b in quotes):
