@@ -121,7 +121,10 @@ def _ends(block: str, m: re.Match, quotes: list[tuple[int, int]], thai: bool) ->
     if low in CLOSE_ABBREVIATIONS:
         if word == "inc" and r.isdigit():
             return False
-        if low in ("v", "a") and block[max(0, p - 4) : p - 1].lower() not in ("e. ", " e.", ". ") and not block[max(0, p - 3) : p].lower().startswith(("e.", "u.")):
+        if low in ("v", "a") and not _PAIRED.search(block, max(0, p - 5), p):
+            return False
+        # In a sentence of capitals they tell nothing.
+        if len(word) > 1 and word.isupper() and (nxt := _WORD_AT.match(block, k)) and len(nxt.group()) > 1 and nxt.group().isupper():
             return False
         return r.isupper() or camel or r in "\"“„«¿¡「" or (r.isdigit() and low not in ("ff", "f"))
     if len(word) == 1 and word.isalpha():
@@ -138,6 +141,7 @@ def _ends(block: str, m: re.Match, quotes: list[tuple[int, int]], thai: bool) ->
 
 
 _WORD_AT = re.compile(r"\w+")
+_PAIRED = re.compile(r"(?:\b[eu]\.|\.)\s?[VvAa]$", re.IGNORECASE)
 _ALNUM = re.compile(r"[^\W_]")
 _MENU = re.compile(r"\S\s*[|·»/]\s*\S+\s*[|·»/]\s|\S {3,}\S+ {3,}\S")
 
