@@ -212,3 +212,14 @@ def test_stream_takes_every_version_once(spark, tmp_path):
     run()
     run()
     assert rows(spark.read.parquet(f"{tmp_path}/out").select("doc_id", "text_version")) == [(1, "1"), (1, "2"), (2, "1")]
+
+
+def test_archive_holds_the_package(tmp_path):
+    import zipfile
+    from pathlib import Path
+
+    import lexspan
+    from lexspan.sources.package import archive
+
+    names = zipfile.ZipFile(archive(Path(lexspan.__file__).parents[1], tmp_path / "x.zip")).namelist()
+    assert "lexspan/operators/references.py" in names and all(n.endswith(".py") for n in names)
