@@ -71,7 +71,31 @@ def _letter_table() -> np.ndarray:
 
 
 _LETTERS: list[np.ndarray] = []
-_ADDRESS = re.compile(r"(?:https?://|www\.)[!-~]+|[a-z0-9._%+-]+@[a-z0-9.-]+|<[^<>\n]{1,30}>")
+_ADDRESS_MARKS = ("@", "://", "www.")
+
+
+def without_addresses(text: str) -> str:
+    """A text whose web and mail addresses are blanked: the visible ASCII characters around `@`, `://` and `www.`."""
+    spans = []
+    for mark in _ADDRESS_MARKS:
+        at = text.find(mark)
+        while at >= 0:
+            a, b = at, at + len(mark)
+            while a and "!" <= text[a - 1] <= "~" and text[a - 1] not in "(<[\"'":
+                a -= 1
+            while b < len(text) and "!" <= text[b] <= "~":
+                b += 1
+            spans.append((a, b))
+            at = text.find(mark, b)
+    if not spans:
+        return text
+    out, since = [], 0
+    for a, b in sorted(spans):
+        if b > since:
+            out.append(text[since : max(a, since)])
+            since = b
+    out.append(text[since:])
+    return " ".join(out)
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +108,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     joined = "  \n".join(texts).lower()
     if joined.count("\n") != len(texts) - 1:
         joined = "  \n".join(t.replace("\n", " ") for t in texts).lower()
-    joined = _ADDRESS.sub(" ", joined)
+    joined = without_addresses(joined)
     raw = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
     owner = np.cumsum(raw == 10, dtype=np.int32)
     c = _LETTERS[0][np.minimum(raw, 0xFFFF)]
@@ -179,7 +203,7 @@ def sample_documents(docs: DataFrame, text_column: str, lang_column: str, per_la
     return [(r["t"], label_code(r["l"]), 1 / r["_c"]) for r in rows]
 
 
-def fit_centroids(sample: list[tuple[str, str | None, float]], clusters: int = CLUSTERS, rounds: int = ROUNDS, most: int = 12_000) -> Centroids:
+def fit_centroids(sample: list[tuple[str, str | None, float]], clusters: int = CLUSTERS, rounds: int = ROUNDS, most: int = 9_000) -> Centroids:
     """Cluster the sample's segments around the labels' means and name each cluster by its documents' labels."""
     rng = np.random.default_rng(SEED)
     texts, codes, stands, owners = [], [], [], []
@@ -300,7 +324,8 @@ class Judge:
         """Per text (main language, confidence, passages (language, start, end, confidence) in other languages)."""
         c = self.centroids
         parts = [self.segments(t) for t in texts]
-        flat = [s for p in parts for _, s in p]
+        # Segments too short to be judged by themselves wait for the second look at their text.
+        flat = [s if len(s) >= LEAST_LETTERS or len(s) >= LEAST_LETTERS / 3 and not s.isascii() else "" for p in parts for _, s in p]
         lang, lead, letters = c.classify(flat)
         out: list = [None] * len(texts)
         mixed, at = [], 0

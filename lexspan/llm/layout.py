@@ -14,6 +14,8 @@ _WORD = re.compile(r"\S+")
 WIDEST = 100
 #: Characters by which later edits may have changed a wrapped line.
 SLACK = 3
+#: Share of lines that may be longer than the width.
+LONGER = 0.05
 
 
 def blank_tags(text: str) -> str:
@@ -52,8 +54,7 @@ def _width(lines: list[str]) -> int:
     elif len(caseless) > 1 and sum(x > max(caseless) - 20 for x in caseless) >= 0.6 * len(caseless):
         width = max(caseless)
     # Wrapped text has hardly a longer line.
-    beyond = sum(len(x) > width + 15 for x in lines)
-    return width if beyond <= 0.05 * len(lines) else 0
+    return width if sum(len(x) > width + 15 for x in lines) <= LONGER * len(lines) else 0
 
 
 def _marks(c: str) -> bool:
@@ -72,7 +73,9 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
             yield 0, flat
         return
     lines = flat.split("\n")
-    width = _width([x.rstrip() for x in lines]) if flat is text else 0
+    width = 0
+    if flat is text and sum(map((WIDEST + 16).__le__, map(len, lines))) <= LONGER * len(lines):
+        width = _width([x.rstrip() for x in lines])
     at, start, held = 0, 0, ""
     for line in lines:
         bare = line.rstrip()
