@@ -29,8 +29,8 @@ SAMPLE, SPELLINGS = 150, 500
 SPACE, CLUSTERS, ROUNDS = 1 << 15, 3, 8
 #: A segment's least cosine to its centroid, as a share of the mean cosine of the centroid's own segments.
 REJECT = 0.45
-#: Least lead of a text's best language where the text is too far from every centroid to be judged by distance.
-LEAD = 0.02
+#: Lead under which a text's best language does not speak against its label.
+LEAD = 0.05
 #: Least mean lead of the sentences of a passage in another language.
 PASSAGE_LEAD = 0.15
 #: Letters of the shortest segment that is judged by itself; letters of scripts without spaces count threefold.
@@ -375,7 +375,7 @@ class Judge:
             if not judged.any():
                 rest = "\n".join(texts[i][a:b] for _, a, b in mine) or texts[i]
                 whole, conf, _ = c.classify([rest], reject=False)
-                out[i] = (c.codes[whole[0]] if whole[0] >= 0 and conf[0] >= LEAD else None, float(conf[0]), [])
+                out[i] = (c.codes[whole[0]] if whole[0] >= 0 else None, float(conf[0]), [])
                 continue
             votes = np.bincount(known[judged], minlength=len(c.codes))
             ties = np.flatnonzero(votes == votes.max())
@@ -418,7 +418,8 @@ def judge_languages(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """(id, label, kind, lang, char_start, char_end, confidence): one row of kind `main` for every text that is not null or blank,
     and one of kind `passage` for every paragraph in another language; ends are exclusive.
 
-    label is the code that the given label names, null if none. lang is null where a text is too far from every centroid.
+    label is the code that the given label names, null if none. A text with hardly a lead of one language over another keeps
+    the language of its label. lang is null where there is no letter to judge.
     Sizes sent to the workers are fixed: SPACE by the centroids of the languages that occur, and the template's vocabularies.
     """
     spark = docs.sparkSession
@@ -434,6 +435,8 @@ def judge_languages(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 cols: list[list] = [[] for _ in range(7)]
                 for (i, text, label, _), (main, sure, passages) in zip(rows, judge.judge([r[1] for r in rows], [r[3] for r in rows])):
                     code = label_code(label)
+                    if code in judge.centroids.codes and sure < LEAD:
+                        main = code
                     for kind, lang, a, b, conf in [("main", main, 0, len(text), sure), *(("passage", *p) for p in passages)]:
                         for c, v in zip(cols, (i, code, kind, lang, a, b, round(conf, 4))):
                             c.append(v)
