@@ -122,7 +122,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     a, b, d = c[:-2].astype(np.uint64), c[1:-1].astype(np.uint64), c[2:].astype(np.uint64)
     d = np.where(wide[1:-1], np.uint64(0), d)
     h = (a * np.uint64(0x9E3779B1) ^ b * np.uint64(0x85EBCA77) ^ d * np.uint64(0xC2B2AE3D)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h >> np.uint64(64 - 15)).astype(np.int64)
+    h = (h >> np.uint64(65 - SPACE.bit_length())).astype(np.int64)
     fine = (owner[:-2] == owner[2:]) & ((c[:-2] != 0) | (c[1:-1] != 0)) & (c[1:-1] != 0)
     key = owner[:-2][fine].astype(np.int64) * SPACE + h[fine]
     key.sort()
