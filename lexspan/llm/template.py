@@ -347,7 +347,8 @@ def _nested_tokens(counted: DataFrame, known: np.ndarray) -> DataFrame:
 def equivalence_classes(counted: DataFrame, first: np.ndarray) -> DataFrame:
     """(token, pages, nested, hosts, in_class): tokens by their occurrence vectors on the pages of each host.
 
-    The vector of a token on a host is how often it is on each of the host's pages, kept as one combined hash. Tokens of
+    The vector of a token on a host is how often it is on each of the host's pages, which are distinct in `counted`, kept as
+    one combined hash. Tokens of
     equal vectors make a class, valid if it has CLASS tokens on two pages or more and nests in the pages that bear a
     template; in_class tells whether a token is in a valid class of some host. A token of `first` bears no witness for itself.
     """
@@ -367,11 +368,12 @@ def deduce_template(docs: DataFrame, text_column: str = "text", url_column: str
     Hosts have few pages each and their templates share most tokens, so the classes' occurrences are added up over hosts:
     a token belongs to the template if its pages nest in those that bear one and are too many for chance, or, with
     less support, if it is in a valid class as well. All pages are counted; counts are taken before the shuffle, so a host
-    or line with a third of all rows costs one row a task. Two vocabularies reach the driver: tokens on at least SHARE of all
+    or line with a third of all rows costs one row a task. Exact copies of a text on one host are one page, as their vectors would be equal whatever
+    their lines are. Two vocabularies reach the driver: tokens on at least SHARE of all
     pages (a third of it for tokens in classes), hence at most three times the lines of a page / SHARE of them whatever
     the size of the data. A null url gives an empty host; null, empty and blank texts are no pages.
     """
-    pages = materialise(docs.select(F.col(text_column).alias("text"), F.col(url_column).alias("url")).mapInArrow(_pages, _PAGES))
+    pages = materialise(docs.select(F.col(text_column).alias("text"), F.col(url_column).alias("url")).mapInArrow(_pages, _PAGES).dropDuplicates(["host", "page"]))
     shown = pages.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("seed").cast("int")), F.lit(0)).alias("t")).first()
     n, base = shown["n"], min(0.95, max(0.02, shown["t"] / max(1, shown["n"])))
     support, less = max(SUPPORT, int(SHARE * n)), max(3, int(SHARE * n / 3))

@@ -36,6 +36,15 @@ def test_deduces_the_template(spark):
     assert len(want - got) <= 0.01 * len(want) and len(got - want) <= 0.01 * len(want)
 
 
+def test_copies_on_a_host_are_one_page(spark):
+    rng = random.Random(3)
+    made = [page(rng, i, i % 2 == 0) for i in range(200)]
+    copied = ["The rules of this house", "Each guest pays the fee of the month in advance where it is due", "Fees grow from two to three points", "All is said.", "© 2020 Solo – All rights reserved."]
+    data = [m[0][:3] for m in made] + [(1000 + i, "\n".join(copied), "https://solo.example/terms") for i in range(4)]
+    found = rows(furniture_lines(spark.createDataFrame(data, "doc_id long, text string, url string")).where("doc_id >= 1000"))
+    assert found == [(1000 + i, 4) for i in range(4)]
+
+
 def test_nulls_repeats_and_empty(spark):
     schema = "doc_id long, text string, url string"
     df = spark.createDataFrame([(1, None, None), (2, "", "x"), (3, " \n ", None), (None, "© 2020 Foo\nA sentence that is here.", None), (4, "Just one sentence.", ""), (4, "Just one sentence.", "")], schema)
