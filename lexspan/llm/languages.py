@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexspan.llm.layout import blocks
 from lexspan.llm.sentences import _quotations, unit_starts
-from lexspan.llm.template import Template, deduce_template
+from lexspan.llm.template import Template, with_template
 from lexspan.sources.tables import table
 
 #: Documents in the sample for each language named by labels (and as many without a usable label), spellings of labels looked at.
@@ -309,8 +309,8 @@ def without_quotations(text: str) -> str:
 class Judge:
     """Main language, further languages and segments of texts."""
 
-    def __init__(self, centroids: Centroids, template: Template):
-        self.centroids, self.template = centroids, template
+    def __init__(self, centroids: Centroids, template: Template | None = None):
+        self.centroids, self.template = centroids, template or Template.of(None, None)
 
     def segments(self, text: str) -> list[tuple[int, str]]:
         """Paragraphs; the sentence units of a text on one line."""
@@ -320,8 +320,11 @@ class Judge:
             return [(a, text[a:b]) for a, b in zip(starts, [*starts[1:], len(text)])]
         return parts
 
-    def judge(self, texts: list[str], urls: list[str | None]) -> list[tuple[str | None, float, list[tuple[str, int, int, float]]]]:
-        """Per text (main language, confidence, passages (language, start, end, confidence) in other languages)."""
+    def judge(self, texts: list[str], urls: list[str | None], templates: list[Template] | None = None) -> list[tuple[str | None, float, list[tuple[str, int, int, float]]]]:
+        """Per text (main language, confidence, passages (language, start, end, confidence) in other languages).
+
+        templates: what each page needs of the template; without it, all take the judge's.
+        """
         c = self.centroids
         parts = [self.segments(t) for t in texts]
         # Segments too short to be judged by themselves wait for the second look at their text.
@@ -341,16 +344,16 @@ class Judge:
             else:
                 out[i] = (None, 0.0, [])
         if mixed:
-            self._mixed(mixed, texts, urls, parts, out)
+            self._mixed(mixed, texts, urls, templates or [self.template] * len(texts), parts, out)
         return out
 
-    def _mixed(self, mixed: list[int], texts: list[str], urls: list[str | None], parts: list, out: list) -> None:
+    def _mixed(self, mixed: list[int], texts: list[str], urls: list[str | None], templates: list[Template], parts: list, out: list) -> None:
         """Texts whose segments differ: without furniture and quotations, sentence by sentence."""
         c = self.centroids
         units: list[str] = []
         spans: list[list[tuple[int, int, int]]] = []
         for i in mixed:
-            gone, lines, pos = set(self.template.furniture(texts[i], urls[i])), [], 0
+            gone, lines, pos = set(templates[i].furniture(texts[i], urls[i])), [], 0
             for k, x in enumerate(texts[i].split("\n")):
                 if k in gone:
                     lines.append((pos, pos + len(x)))
@@ -420,20 +423,19 @@ def judge_languages(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     label is the code that the given label names, null if none. A text with hardly a lead of one language over another keeps
     the language of its label. lang is null where there is no letter to judge.
-    Sizes sent to the workers are fixed: SPACE by the centroids of the languages that occur, and the template's vocabularies.
+    Sizes sent to the workers are fixed: SPACE by the centroids of the languages that occur, and the map of template tokens.
     """
     spark = docs.sparkSession
     centroids = fit_centroids(sample_documents(docs, text_column, lang_column))
-    sent = spark.sparkContext.broadcast((centroids.weights, centroids.idf, centroids.langs, centroids.bars, *deduce_template(docs, text_column, url_column)))
+    sent = spark.sparkContext.broadcast((centroids.weights, centroids.idf, centroids.langs, centroids.bars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, idf, langs, bars, tokens, headings = sent.value
-        judge = Judge(Centroids(w, idf, langs, bars), Template(tokens, headings))
+        judge = Judge(Centroids(*sent.value))
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
-                rows = [r for r in zip(*(batch.column(k).slice(lo, 128).to_pylist() for k in range(4))) if r[1] and not r[1].isspace()]
+                rows = [r for r in zip(*(batch.column(k).slice(lo, 128).to_pylist() for k in range(6))) if r[1] and not r[1].isspace()]
                 cols: list[list] = [[] for _ in range(7)]
-                for (i, text, label, _), (main, sure, passages) in zip(rows, judge.judge([r[1] for r in rows], [r[3] for r in rows])):
+                for (i, text, label, *_), (main, sure, passages) in zip(rows, judge.judge([r[1] for r in rows], [r[3] for r in rows], [Template.of(*r[4:]) for r in rows])):
                     code = label_code(label)
                     if code in judge.centroids.codes and sure < LEAD:
                         main = code
@@ -444,7 +446,7 @@ def judge_languages(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[id_column, "label", "kind", "lang", "char_start", "char_end", "confidence"])
 
     schema = f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, label string, kind string, lang string, char_start int, char_end int, confidence double"
-    return docs.select(id_column, text_column, lang_column, url_column).mapInArrow(run, schema)
+    return with_template(docs.select(id_column, text_column, lang_column, url_column), text_column, url_column).mapInArrow(run, schema)
 
 
 def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

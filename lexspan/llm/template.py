@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm.layout import MARKER, TAG
-from lexspan.sources.tables import materialise, table
+from lexspan.sources.tables import materialise, scratch_path, table
 
 #: Longest line that can be a token, longest heading.
 LONGEST, SHORT = 200, 60
-#: Least pages of a token: SUPPORT, or SHARE of all pages if that is more, which bounds the vocabulary at lines a page / SHARE.
-SUPPORT, SHARE = 5, 1e-4
+#: Least pages of a token on several hosts, of one in a valid class, whatever the number of pages.
+SUPPORT, CLASS_SUPPORT = 5, 3
+#: Bits of the map by which pages leave out tokens that are in no table; sent to the workers, of one size for data of any size.
+MAP_BITS = 1 << 26
 #: Least tokens of a valid class.
 CLASS = 3
 #: Least share of a token's pages that bear a template, and least evidence in nats against chance: plain, closed by a terminator, with a list marker.
@@ -189,7 +191,14 @@ class Template:
     """Deduced template tokens and the headings of the text proper."""
 
     def __init__(self, tokens: np.ndarray, headings: np.ndarray):
-        self.tokens, self.headings = set(tokens.tolist()), set(headings.tolist())
+        self.tokens, self.headings, self.all_lines = set(tokens.tolist()), set(headings.tolist()), False
+
+    @classmethod
+    def of(cls, tokens: list[int] | None, headings: list[int] | None) -> Template:
+        """Of the tokens and headings that one page asks for."""
+        out = cls.__new__(cls)
+        out.tokens, out.headings, out.all_lines = set(tokens or ()), set(headings or ()), False
+        return out
 
     def furniture(self, text: str, url: str | None) -> list[int]:
         """Numbers of the lines of a page that are furniture, from 0."""
@@ -221,7 +230,7 @@ class Template:
                     if state == 0 and bits & SHORT_BIT and token not in headings:
                         state = 1
             states.append(state)
-        if 2 not in states:
+        if 2 not in states and not self.all_lines:
             return []
         n = len(states)
         for i in range(n):
@@ -275,6 +284,28 @@ class Template:
         return False
 
 
+class _Asked:
+    """Stands for a set of tokens: has none, and keeps what is looked for and is in the map."""
+
+    def __init__(self, bits: bytes):
+        self.bits, self.found = bits, set()
+
+    def __contains__(self, token: int) -> bool:
+        k = token >> 3 & MAP_BITS - 1
+        if self.bits[k >> 3] >> (k & 7) & 1:
+            self.found.add(token)
+        return False
+
+
+def asked_tokens(text: str, url: str | None, bits: bytes) -> set[int]:
+    """Every token in the map that `furniture` may look for on a page, whatever it finds."""
+    t = Template.of(None, None)
+    t.tokens = t.headings = asked = _Asked(bits)
+    t.all_lines = True
+    t.furniture(text, url)
+    return asked.found
+
+
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
@@ -302,32 +333,29 @@ def _evident(base: float) -> F.Column:
     return nats >= F.when(marked, EVIDENCE[2]).when(closed, EVIDENCE[1]).otherwise(EVIDENCE[0])
 
 
-def _first_tokens(pages: DataFrame, base: float, support: int) -> np.ndarray:
-    """Plain tokens found almost only on pages whose structure shows a template."""
+def _stored(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder, so that its size is known and small ones are broadcast."""
+    path = scratch_path(df.sparkSession, "template")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _first_tokens(pages: DataFrame, base: float) -> DataFrame:
+    """(token): plain tokens found almost only on pages whose structure shows a template."""
     rows = pages.select("host", "seed", F.explode("tokens").alias("token"))
     grouped = rows.groupBy("token").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.col("seed").cast("int")).alias("nested"), F.min("host").alias("_a"), F.max("host").alias("_b"))
     rate = F.col("nested") / F.col("pages")
     sure = rate - F.sqrt(rate * (1 - rate) / F.col("pages")) >= (1 + base) / 2 - 0.02
     plain = F.col("token").bitwiseAND(MARK_BIT | END_BIT) == 0
-    chosen = grouped.where((F.col("pages") >= support) & (F.col("_a") != F.col("_b")) & sure & plain & _evident(base))
-    return np.array([r["token"] for r in chosen.select("token").collect()], dtype=np.int64)
+    chosen = grouped.where((F.col("pages") >= SUPPORT) & (F.col("_a") != F.col("_b")) & sure & plain & _evident(base))
+    return _stored(chosen.select("token"))
 
 
-def _witnessed(pages: DataFrame, known: np.ndarray) -> DataFrame:
+def _witnessed(pages: DataFrame, known: DataFrame) -> DataFrame:
     """`pages` with hits: how many known template tokens a page has, and one more if its structure shows a template."""
-    sent = pages.sparkSession.sparkContext.broadcast(np.sort(known))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for batch in batches:
-            lists = batch.column(2)
-            flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            found = np.concatenate([[0], np.cumsum(np.isin(flat, known))])
-            offsets = offsets - offsets[0]
-            hits = found[offsets[1:]] - found[offsets[:-1]] + batch.column(4).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hits.astype(np.int32))], names=["host", "page", "tokens", "times", "hits"])
-
-    return pages.mapInArrow(count, "host bigint, page bigint, tokens array<bigint>, times array<int>, hits int")
+    rows = pages.select("host", "page", F.explode("tokens").alias("token")).join(known, "token", "left_semi")
+    hits = materialise(rows.groupBy("host", "page").agg(F.count(F.lit(1)).cast("int").alias("_h")))
+    return pages.join(hits, ["host", "page"], "left").select("host", "page", "tokens", "times", (F.coalesce("_h", F.lit(0)) + F.col("seed").cast("int")).alias("hits"))
 
 
 def _bearing(counted: DataFrame) -> float:
@@ -335,62 +363,109 @@ def _bearing(counted: DataFrame) -> float:
     return min(0.95, max(0.02, counted.agg(F.avg((F.col("hits") > 0).cast("double")).alias("b")).first()["b"] or 0.0))
 
 
-def _nested_tokens(counted: DataFrame, known: np.ndarray) -> DataFrame:
+def _witnesses() -> list[F.Column]:
+    """Pages with a witness, and with two: a known token's own hit is no witness for itself, which `_nested` takes off after the join."""
+    return [F.sum((F.col("hits") > n).cast("int")).alias(f"_w{n + 1}") for n in range(2)]
+
+
+def _nested(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """`counts` with nested: pages that bear a template by the witness of other tokens."""
+    own = known.withColumn("_own", F.lit(True))
+    return counts.join(own, "token", "left").withColumn("nested", F.when(F.col("_own"), F.col("_w2")).otherwise(F.col("_w1"))).drop("_own", "_w1", "_w2")
+
+
+def _nested_tokens(counted: DataFrame, known: DataFrame) -> DataFrame:
     """(token, pages, nested, hosts): how many of a token's pages bear a template by the witness of other tokens; hosts is 1 or 2 (several)."""
-    own = F.broadcast(counted.sparkSession.createDataFrame([(int(x), 1) for x in known], "token bigint, _own int"))
-    rows = counted.select("host", "hits", F.explode("tokens").alias("token")).join(own, "token", "left")
-    nested = (F.col("hits") > F.coalesce("_own", F.lit(0))).cast("int")
-    grouped = rows.groupBy("token").agg(F.count(F.lit(1)).alias("pages"), F.sum(nested).alias("nested"), F.min("host").alias("_a"), F.max("host").alias("_b"))
-    return grouped.select("token", "pages", "nested", F.when(F.col("_a") == F.col("_b"), 1).otherwise(2).alias("hosts"))
+    rows = counted.select("host", "hits", F.explode("tokens").alias("token"))
+    grouped = rows.groupBy("token").agg(F.count(F.lit(1)).alias("pages"), *_witnesses(), F.min("host").alias("_a"), F.max("host").alias("_b"))
+    return _nested(grouped, known).select("token", "pages", "nested", F.when(F.col("_a") == F.col("_b"), 1).otherwise(2).alias("hosts"))
 
 
-def equivalence_classes(counted: DataFrame, first: np.ndarray) -> DataFrame:
+def equivalence_classes(counted: DataFrame, first: DataFrame) -> DataFrame:
     """(token, pages, nested, hosts, in_class): tokens by their occurrence vectors on the pages of each host.
 
     The vector of a token on a host is how often it is on each of the host's pages, which are distinct in `counted`, kept as
-    one combined hash. Tokens of
-    equal vectors make a class, valid if it has CLASS tokens on two pages or more and nests in the pages that bear a
-    template; in_class tells whether a token is in a valid class of some host. A token of `first` bears no witness for itself.
+    one combined hash. Tokens of equal vectors make a class, valid if it has CLASS tokens on two pages or more and nests in
+    the pages that bear a template; in_class tells whether a token is in a valid class of some host. A token of `first`
+    bears no witness for itself.
     """
     rows = counted.select("host", "page", "hits", F.explode(F.arrays_zip("tokens", "times")).alias("_x")).select("host", "page", "hits", F.col("_x.tokens").alias("token"), F.col("_x.times").alias("times"))
-    own = F.broadcast(counted.sparkSession.createDataFrame([(int(x), 1) for x in first], "token bigint, _own int"))
-    nested = (F.col("hits") > F.coalesce("_own", F.lit(0))).cast("int")
-    vectors = rows.join(own, "token", "left").groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum(nested).alias("nested"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"))
+    vectors = _nested(rows.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), *_witnesses(), F.bit_xor(F.xxhash64("page", "times")).alias("vector")), first)
     classes = vectors.where("pages >= 2 AND nested = pages").groupBy("host", "vector").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= CLASS)
     several = vectors.where("pages >= 2 AND nested = pages").join(classes, ["host", "vector"], "left_semi").select("token").distinct()
     sums = vectors.groupBy("token").agg(F.sum("pages").alias("pages"), F.sum("nested").alias("nested"), F.count(F.lit(1)).alias("hosts"))
     return sums.join(several.withColumn("_v", F.lit(True)), "token", "left").select("token", "pages", "nested", "hosts", F.coalesce("_v", F.lit(False)).alias("in_class"))
 
 
-def deduce_template(docs: DataFrame, text_column: str = "text", url_column: str = "url") -> tuple[np.ndarray, np.ndarray]:
-    """(template tokens, headings) of all pages of `docs`.
+def template_table(docs: DataFrame, text_column: str = "text", url_column: str = "url") -> DataFrame:
+    """(token, furniture): template tokens and, with furniture false, headings of all pages of `docs`.
 
     Hosts have few pages each and their templates share most tokens, so the classes' occurrences are added up over hosts:
     a token belongs to the template if its pages nest in those that bear one and are too many for chance, or, with
     less support, if it is in a valid class as well. All pages are counted; counts are taken before the shuffle, so a host
-    or line with a third of all rows costs one row a task. Exact copies of a text on one host are one page, as their vectors would be equal whatever
-    their lines are. Two vocabularies reach the driver: tokens on at least SHARE of all
-    pages (a third of it for tokens in classes), hence at most three times the lines of a page / SHARE of them whatever
-    the size of the data. A null url gives an empty host; null, empty and blank texts are no pages.
+    or line with a third of all rows costs one row a task. Exact copies of a text on one host are one page, as their
+    vectors would be equal whatever their lines are. The supports do not depend on the number of pages, and no vocabulary is collected: its tables
+    stay distributed. A null url gives an empty host; null, empty and blank texts are no pages.
     """
     pages = materialise(docs.select(F.col(text_column).alias("text"), F.col(url_column).alias("url")).mapInArrow(_pages, _PAGES).dropDuplicates(["host", "page"]))
     shown = pages.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("seed").cast("int")), F.lit(0)).alias("t")).first()
-    n, base = shown["n"], min(0.95, max(0.02, shown["t"] / max(1, shown["n"])))
-    support, less = max(SUPPORT, int(SHARE * n)), max(3, int(SHARE * n / 3))
-    first = _first_tokens(pages, base, support)
+    base = min(0.95, max(0.02, shown["t"] / max(1, shown["n"])))
+    first = _first_tokens(pages, base)
     counted = _witnessed(pages, first)
     base = _bearing(counted)
-    wider = _nested_tokens(counted, first).where((F.col("pages") >= support) & (F.col("hosts") > 1) & (F.col("nested") >= NESTED * F.col("pages")) & (F.col("token").bitwiseAND(MARK_BIT | END_BIT) == 0) & _evident(base))
-    first = np.union1d(first, np.array([r["token"] for r in wider.select("token").collect()], dtype=np.int64))
+    wider = _nested_tokens(counted, first).where((F.col("pages") >= SUPPORT) & (F.col("hosts") > 1) & (F.col("nested") >= NESTED * F.col("pages")) & (F.col("token").bitwiseAND(MARK_BIT | END_BIT) == 0) & _evident(base))
+    first = _stored(first.union(wider.select("token")).distinct())
     counted = _witnessed(pages, first)
     base = _bearing(counted)
     rate = F.col("nested") / F.col("pages")
     plain = F.col("token").bitwiseAND(MARK_BIT | END_BIT) == 0
-    frequent = (F.col("pages") >= support) & (F.col("hosts") > 1)
-    accepted = (rate >= NESTED) & ((frequent & _evident(base)) | ((F.col("pages") >= less) & F.col("in_class") & plain))
+    frequent = (F.col("pages") >= SUPPORT) & (F.col("hosts") > 1)
+    accepted = (rate >= NESTED) & ((frequent & _evident(base)) | ((F.col("pages") >= CLASS_SUPPORT) & F.col("in_class") & plain))
     heading = frequent & (F.col("token").bitwiseAND(SHORT_BIT) != 0) & (rate < NESTED)
-    final = equivalence_classes(counted, first).where(accepted | heading).select("token", accepted.alias("_f")).collect()
-    return np.array([r["token"] for r in final if r["_f"]], np.int64), np.array([r["token"] for r in final if not r["_f"]], np.int64)
+    return _stored(equivalence_classes(counted, first).where(accepted | heading).select("token", accepted.alias("furniture")))
+
+
+def deduce_template(docs: DataFrame, text_column: str = "text", url_column: str = "url") -> tuple[np.ndarray, np.ndarray]:
+    """(template tokens, headings) of `template_table`, collected; for tables whose vocabulary fits the driver."""
+    final = template_table(docs, text_column, url_column).collect()
+    return np.array([r["token"] for r in final if r["furniture"]], np.int64), np.array([r["token"] for r in final if not r["furniture"]], np.int64)
+
+
+def _token_map(tokens: DataFrame) -> bytes:
+    """MAP_BITS bits, set where some token has its place."""
+    place = tokens.select(F.shiftright("token", 3).bitwiseAND(MAP_BITS - 1).alias("k"))
+    parts = place.groupBy(F.shiftright("k", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("k").bitwiseAND(32767)).alias("bits"))
+    out = np.zeros((MAP_BITS >> 15, 4096), np.uint8)
+    for r in parts.collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def with_template(docs: DataFrame, text_column: str = "text", url_column: str = "url") -> DataFrame:
+    """`docs` with _tokens and _headings: those of the template and the headings that a page's lines may be held against.
+
+    The pages ask for tokens, the questions are joined to the distributed table, and the answers to the pages; null where
+    a page has none. What is sent to the workers is a map of MAP_BITS bits that only spares questions.
+    """
+    vocabulary = template_table(docs, text_column, url_column)
+    sent = docs.sparkSession.sparkContext.broadcast(_token_map(vocabulary))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                keys, tokens = [], []
+                for key, text, url in zip(*(batch.column(k).slice(lo, 512).to_pylist() for k in range(3))):
+                    if text and (found := asked_tokens(text, url, bits)):
+                        keys.append(key)
+                        tokens.append(list(found))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["_page", "tokens"])
+
+    keyed = docs.withColumn("_page", F.xxhash64(text_column, url_column))
+    rows = keyed.select("_page", text_column, url_column).mapInArrow(ask, "_page bigint, tokens array<bigint>").select("_page", F.explode("tokens").alias("token"))
+    one = lambda which: F.collect_set(F.when(which, F.col("token")))
+    found = rows.join(vocabulary, "token").groupBy("_page").agg(one(F.col("furniture")).alias("_tokens"), one(~F.col("furniture")).alias("_headings"))
+    return keyed.join(found, "_page", "left").drop("_page")
 
 
 def furniture_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", url_column: str = "url") -> DataFrame:
@@ -398,22 +473,20 @@ def furniture_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Texts without any template token or structure have none. Null, empty and blank texts give no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(deduce_template(docs, text_column, url_column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template = Template(*sent.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 ids, numbers = [], []
-                for i, text, url in zip(*(batch.column(k).slice(lo, 512).to_pylist() for k in range(3))):
+                for i, text, url, tokens, headings in zip(*(batch.column(k).slice(lo, 512).to_pylist() for k in range(5))):
                     if text:
-                        found = template.furniture(text, url)
+                        found = Template.of(tokens, headings).furniture(text, url)
                         ids += [i] * len(found)
                         numbers += found
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int32())], names=[id_column, "line_no"])
 
     schema = f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, line_no int"
-    return docs.select(id_column, text_column, url_column).mapInArrow(run, schema)
+    return with_template(docs.select(id_column, text_column, url_column), text_column, url_column).mapInArrow(run, schema)
 
 
 def main_text(text: str, furniture: list[int]) -> str:
@@ -431,18 +504,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without its furniture lines."""
-    docs = table(spark, sf_dir, "documents")
-    sent = spark.sparkContext.broadcast(deduce_template(docs))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template = Template(*sent.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                rows = list(zip(*(batch.column(k).slice(lo, 512).to_pylist() for k in range(3))))
-                texts = [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if (gone := set(template.furniture(t, u))) else t for _, t, u in rows]
+                rows = list(zip(*(batch.column(k).slice(lo, 512).to_pylist() for k in range(5))))
+                texts = [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if (gone := set(Template.of(x, h).furniture(t, u))) else t for _, t, u, x, h in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "main_text"])
 
-    return docs.select("doc_id", "text", "url").mapInArrow(run, "doc_id bigint, main_text string")
+    return with_template(docs).mapInArrow(run, "doc_id bigint, main_text string")
 
 
 QUERIES = {"p7_found": p7_found, "p7_main": p7_main}

@@ -45,6 +45,28 @@ def test_copies_on_a_host_are_one_page(spark):
     assert found == [(1000 + i, 4) for i in range(4)]
 
 
+def test_supports_do_not_depend_on_size(spark, monkeypatch):
+    """A host's own menu entry on three pages stays furniture among very many pages."""
+    monkeypatch.setattr("lexspan.llm.template.SHARE", 0.1, raising=False)  # as if there were a thousand times the pages
+    rng = random.Random(5)
+    made = [page(rng, i, i % 2 == 0) for i in range(200)]
+    own = ["Orchard walks", "Cellar tours", "Harvest calendar", "Our donkeys", "Find the gate"]
+    data = [m[0][:3] for m in made]
+    for i in range(4):
+        data.append((1000 + i, "\n".join([*own, "Home | Shop | News | Help | Jobs", LEGAL[i], LEGAL[i + 1], "© 2020 Solo – All rights reserved."]), "https://solo.example/terms"))
+    found = {r[1] for r in rows(furniture_lines(spark.createDataFrame(data, "doc_id long, text string, url string")).where("doc_id = 1000"))}
+    assert set(range(5)) <= found
+
+
+def test_pages_get_the_tokens_of_the_whole_template(spark):
+    """Joined tokens give the lines that the collected vocabulary gives."""
+    rng = random.Random(7)
+    docs = spark.createDataFrame([page(rng, i, i % 2 == 0)[0][:3] for i in range(200)], "doc_id long, text string, url string")
+    whole = Template(*deduce_template(docs))
+    want = sorted((r["doc_id"], n) for r in docs.collect() for n in whole.furniture(r["text"], r["url"]))
+    assert rows(furniture_lines(docs)) == want
+
+
 def test_nulls_repeats_and_empty(spark):
     schema = "doc_id long, text string, url string"
     df = spark.createDataFrame([(1, None, None), (2, "", "x"), (3, " \n ", None), (None, "© 2020 Foo\nA sentence that is here.", None), (4, "Just one sentence.", ""), (4, "Just one sentence.", "")], schema)
