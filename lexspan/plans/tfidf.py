@@ -74,13 +74,24 @@ def negative_sentences(t: Tables) -> DataFrame:
 
 @R.add("OP12_case_rows", f"WITH {PREP}, c AS (SELECT min(case_id) c FROM pos) SELECT quote_text, 1 label FROM pos, c WHERE case_id = c UNION ALL SELECT sentence, 0 FROM neg, c WHERE NOT list_contains(offlimits, c)")
 def case_rows(t: Tables) -> DataFrame:
-    """Training rows of one case: its approved quotes, and drawn sentences no point of the case touches."""
+    """Training rows of the case of the least id, as the SQL states; `all_case_rows` has every case."""
     one = F.broadcast(positives(t).agg(F.min("case_id").alias("case_id")))
-    yes = positives(t).join(one, "case_id").select("quote_text", F.lit(1).alias("label"))
-    no = negatives(t).join(one).where(~F.array_contains("offlimits", F.col("case_id"))).select(F.col("sentence").alias("quote_text"), F.lit(0).alias("label"))
+    return training_rows(t, one).drop("case_id")
+
+
+def training_rows(t: Tables, cases: DataFrame) -> DataFrame:
+    """(case_id, quote_text, label) of every case in `cases`: its approved quotes, and drawn sentences no point of the case touches."""
+    yes = positives(t).join(cases, "case_id").select("case_id", "quote_text", F.lit(1).alias("label"))
+    no = negatives(t).join(cases).where(~F.array_contains("offlimits", F.col("case_id"))).select("case_id", F.col("sentence").alias("quote_text"), F.lit(0).alias("label"))
     return yes.unionByName(no)
 
 
+@R.add("OP12_all_case_rows", f"WITH {PREP}, c AS (SELECT DISTINCT case_id FROM pos) SELECT case_id, quote_text, 1 label FROM pos UNION ALL SELECT case_id, sentence, 0 FROM neg, c WHERE NOT list_contains(offlimits, case_id)")
+def all_case_rows(t: Tables) -> DataFrame:
+    """Training rows of every case that has an approved quote; cases are bounded, and the drawn sentences are 600 x 18 at most."""
+    return training_rows(t, F.broadcast(positives(t).select("case_id").distinct()))
+
+
 @R.add("OP15_grid", """WITH linear(model) AS (VALUES ('logistic l2'), ('logistic elastic'), ('sgd log')), w(weight) AS (VALUES ('2:1'), ('1:1'), ('1:3'), ('1:5')), forest(model) AS (VALUES ('forest d3 s8'), ('forest d5 s8'), ('forest d10 s8'), ('forest d5 s4'), ('forest d5 s12')), r(rebalance_to) AS (VALUES (20), (NULL))
 SELECT model, weight, rebalance_to FROM linear, w, r UNION ALL SELECT model, 'balanced', rebalance_to FROM forest, r""")
 def grid(t: Tables) -> DataFrame:

@@ -30,6 +30,12 @@ def test_query_equals_sql(spark, duck, name):
     assert got.equals(want)
 
 
+def test_every_case_has_its_training_rows(spark, duck):
+    got = {(r[0], r[1]) for r in QUERIES["OP12_all_case_rows"](spark, SMALL).select("case_id", "label").distinct().collect()}
+    cases = {r[0] for r in duck.execute("SELECT DISTINCT case_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, ingested_at DESC NULLS LAST) rn FROM points) WHERE rn = 1 AND status = 'approved' AND case_id IS NOT NULL AND quote_text <> ''").fetchall()}
+    assert len(cases) > 1 and got == {(c, label) for c in cases for label in (0, 1)}
+
+
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
