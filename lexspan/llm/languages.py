@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from lexspan.llm.layout import blocks
 from lexspan.llm.sentences import _quotations, unit_starts
-from lexspan.llm.template import Template, with_template
-from lexspan.sources.tables import table
+from lexspan.llm.template import page_furniture, template_table, with_furniture
+from lexspan.sources.tables import scratch_path, table
 
 #: Documents in the sample for each language named by labels (and as many without a usable label), spellings of labels looked at.
 SAMPLE, SPELLINGS = 150, 500
+#: Segments of a sampled document, and of the whole sample, that the centroids are fitted on.
+SEGMENTS, MOST = 6, 9_000
 #: Hash space of the n-grams, clusters per language, rounds of clustering.
 SPACE, CLUSTERS, ROUNDS = 1 << 15, 3, 8
 #: A segment's least cosine to its centroid, as a share of the mean cosine of the centroid's own segments.
@@ -199,11 +201,11 @@ def sample_documents(docs: DataFrame, text_column: str, lang_column: str, per_la
     chance = [(r["l"], min(1.0, per_label / totals[label_code(r["l"])])) for r in labels]
     at = F.broadcast(spark.createDataFrame(chance, "_l string, _c double"))
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col(text_column)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    rows = docs.where(F.length(F.trim(F.col(text_column))) > 40).select(F.col(text_column).alias("t"), F.col(lang_column).alias("l"), draw.alias("_d")).join(at, F.col("l").eqNullSafe(F.col("_l"))).where("_d < _c").select("t", "l", "_c").limit(4 * per_label * (len(totals) + 1)).collect()
+    rows = docs.where(F.length(F.trim(F.col(text_column))) > 40).select(F.col(text_column).alias("t"), F.col(lang_column).alias("l"), draw.alias("_d")).join(at, F.col("l").eqNullSafe(F.col("_l"))).where("_d < _c").orderBy("_d", "t").select("t", "l", "_c").limit(4 * per_label * (len(totals) + 1)).collect()
     return [(r["t"], label_code(r["l"]), 1 / r["_c"]) for r in rows]
 
 
-def fit_centroids(sample: list[tuple[str, str | None, float]], clusters: int = CLUSTERS, rounds: int = ROUNDS, most: int = 9_000) -> Centroids:
+def fit_centroids(sample: list[tuple[str, str | None, float]], clusters: int = CLUSTERS, rounds: int = ROUNDS, most: int = MOST) -> Centroids:
     """Cluster the sample's segments around the labels' means and name each cluster by its documents' labels."""
     rng = np.random.default_rng(SEED)
     texts, codes, stands, owners = [], [], [], []
@@ -212,7 +214,7 @@ def fit_centroids(sample: list[tuple[str, str | None, float]], clusters: int = C
         if len(parts) == 1 and len(parts[0]) > 600:
             whole = parts[0]
             parts = [whole[i : i + 300] for i in range(0, len(whole) - 100, 300)]
-        for p in rng.permutation(len(parts))[:6]:
+        for p in rng.permutation(len(parts))[:SEGMENTS]:
             texts.append(parts[p])
             codes.append(code)
             stands.append(weight)
@@ -309,8 +311,8 @@ def without_quotations(text: str) -> str:
 class Judge:
     """Main language, further languages and segments of texts."""
 
-    def __init__(self, centroids: Centroids, template: Template | None = None):
-        self.centroids, self.template = centroids, template or Template.of(None, None)
+    def __init__(self, centroids: Centroids):
+        self.centroids = centroids
 
     def segments(self, text: str) -> list[tuple[int, str]]:
         """Paragraphs; the sentence units of a text on one line."""
@@ -320,40 +322,46 @@ class Judge:
             return [(a, text[a:b]) for a, b in zip(starts, [*starts[1:], len(text)])]
         return parts
 
-    def judge(self, texts: list[str], urls: list[str | None], templates: list[Template] | None = None) -> list[tuple[str | None, float, list[tuple[str, int, int, float]]]]:
-        """Per text (main language, confidence, passages (language, start, end, confidence) in other languages).
+    def judge(self, texts: list[str], furniture: list[list[int] | None] | None = None) -> list[tuple[str | None, float, list[tuple[str, int, int, float]]]]:
+        """Per text (main language, confidence, passages (language, start, end, confidence) in other languages); furniture has each text's furniture lines."""
+        out = self.alike(texts)
+        mixed = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(mixed, self.mixed([texts[i] for i in mixed], [furniture[i] if furniture else None for i in mixed])):
+            out[i] = x
+        return out
 
-        templates: what each page needs of the template; without it, all take the judge's.
-        """
+    def alike(self, texts: list[str]) -> list[tuple[str | None, float, list] | None]:
+        """The results of texts whose segments are all in one language or have nothing to judge; None for the others."""
         c = self.centroids
         parts = [self.segments(t) for t in texts]
         # Segments too short to be judged by themselves wait for the second look at their text.
         flat = [s if len(s) >= LEAST_LETTERS or len(s) >= LEAST_LETTERS / 3 and not s.isascii() else "" for p in parts for _, s in p]
         lang, lead, letters = c.classify(flat)
-        out: list = [None] * len(texts)
-        mixed, at = [], 0
-        for i, p in enumerate(parts):
+        out: list = []
+        at = 0
+        for p in parts:
             sl = slice(at, at + len(p))
             at += len(p)
             known, size, sure = lang[sl], letters[sl], lead[sl]
             judged = (size >= LEAST_LETTERS) & (known >= 0)
             if judged.any() and (known[judged] == known[judged][0]).all():
-                out[i] = (c.codes[known[judged][0]], float(np.average(sure[judged], weights=size[judged])), [])
-            elif len(p):
-                mixed.append(i)
+                out.append((c.codes[known[judged][0]], float(np.average(sure[judged], weights=size[judged])), []))
             else:
-                out[i] = (None, 0.0, [])
-        if mixed:
-            self._mixed(mixed, texts, urls, templates or [self.template] * len(texts), parts, out)
+                out.append(None if p else (None, 0.0, []))
         return out
 
-    def _mixed(self, mixed: list[int], texts: list[str], urls: list[str | None], templates: list[Template], parts: list, out: list) -> None:
-        """Texts whose segments differ: without furniture and quotations, sentence by sentence."""
+    def mixed(self, texts: list[str], furniture: list[list[int] | None]) -> list[tuple[str | None, float, list[tuple[str, int, int, float]]]]:
+        """Texts whose segments differ: without furniture and quotations, sentence by sentence.
+
+        A sentence too short to be judged by itself votes as its paragraph does, if that is of one mind.
+        """
+        parts = [self.segments(t) for t in texts]
+        out: list = [(None, 0.0, [])] * len(texts)
         c = self.centroids
         units: list[str] = []
         spans: list[list[tuple[int, int, int]]] = []
-        for i in mixed:
-            gone, lines, pos = set(templates[i].furniture(texts[i], urls[i])), [], 0
+        for i in range(len(texts)):
+            gone, lines, pos = set(furniture[i] or ()), [], 0
             for k, x in enumerate(texts[i].split("\n")):
                 if k in gone:
                     lines.append((pos, pos + len(x)))
@@ -370,7 +378,7 @@ class Judge:
             spans.append(mine)
         lang, lead, letters = c.classify(units)
         at = 0
-        for i, mine in zip(mixed, spans):
+        for i, mine in enumerate(spans):
             sl = slice(at, at + len(mine))
             at += len(mine)
             known, size, sure = lang[sl], letters[sl], lead[sl]
@@ -380,7 +388,11 @@ class Judge:
                 whole, conf, _ = c.classify([rest], reject=False)
                 out[i] = (c.codes[whole[0]] if whole[0] >= 0 else None, float(conf[0]), [])
                 continue
-            votes = np.bincount(known[judged], minlength=len(c.codes))
+            minds: dict[int, set[int]] = {}
+            for k in np.flatnonzero(judged):
+                minds.setdefault(mine[k][0], set()).add(int(known[k]))
+            follows = [minds[n].copy().pop() for k, (n, _, _) in enumerate(mine) if not judged[k] and size[k] > 0 and len(minds.get(n, ())) == 1]
+            votes = np.bincount(np.concatenate([known[judged], np.array(follows, np.int32)]), minlength=len(c.codes))
             ties = np.flatnonzero(votes == votes.max())
             main = ties[0] if len(ties) == 1 else max(ties, key=lambda k: size[judged][known[judged] == k].sum())
             per_line = len(parts[i]) > 1 and len({n for n, _, _ in mine}) == len(mine) and len(mine) == len(unit_starts(texts[i])) and "\n" not in texts[i].strip()
@@ -415,6 +427,7 @@ class Judge:
                     passages.append((c.codes[first], mine[members[0]][1], mine[members[-1]][2], lead_in))
             mine_sure = judged & (known == main)
             out[i] = (c.codes[main], float(np.average(sure[mine_sure], weights=size[mine_sure]) * votes[main] / votes.sum()), passages)
+        return out
 
 
 def judge_languages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", url_column: str = "url") -> DataFrame:
@@ -422,31 +435,56 @@ def judge_languages(docs: DataFrame, id_column: str = "doc_id", text_column: str
     and one of kind `passage` for every paragraph in another language; ends are exclusive.
 
     label is the code that the given label names, null if none. A text with hardly a lead of one language over another keeps
-    the language of its label. lang is null where there is no letter to judge.
-    Sizes sent to the workers are fixed: SPACE by the centroids of the languages that occur, and the map of template tokens.
+    the language of its label. lang is null where there is no letter to judge. Null, empty and blank texts have no row; repeated rows and null ids come out as they went in.
+
+    One pass judges the texts whose segments agree; the others, which are few, go on with their text and are judged without
+    their page furniture, by the template of all pages. Sizes sent to the workers are fixed: SPACE by the centroids of the languages that occur, and the map of template tokens.
     """
     spark = docs.sparkSession
     centroids = fit_centroids(sample_documents(docs, text_column, lang_column))
     sent = spark.sparkContext.broadcast((centroids.weights, centroids.idf, centroids.langs, centroids.bars))
+    kind_of_id = docs.schema[id_column].dataType.simpleString()
+    schema = "id {}, label string, kind string, lang string, char_start int, char_end int, confidence double".format(kind_of_id)
+    names = ["id", "label", "kind", "lang", "char_start", "char_end", "confidence"]
+
+    def table_of(rows: list[tuple], results: list, codes: list[str], kind: pa.DataType, keep: bool) -> pa.RecordBatch:
+        cols: list[list] = [[] for _ in range(9 if keep else 7)]
+        for (i, text, label, url), result in zip(rows, results):
+            code = label_code(label)
+            if result is None:
+                rest = [(i, code, None, None, None, None, None, text, url)]
+            else:
+                main, sure, passages = result
+                if code in codes and sure < LEAD:
+                    main = code
+                rest = [(i, code, k, lang, a, b, round(conf, 4), None, None) for k, lang, a, b, conf in [("main", main, 0, len(text), sure), *(("passage", *p) for p in passages)]]
+            for row in rest:
+                for c, v in zip(cols, row):
+                    c.append(v)
+        types = [kind, pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[*names, "text", "url"][: len(cols)])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(Centroids(*sent.value))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                rows = [r for r in zip(*(batch.column(k).slice(lo, 128).to_pylist() for k in range(4))) if r[1] and not r[1].isspace()]
+                yield table_of(rows, judge.alike([r[1] for r in rows]), judge.centroids.codes, batch.schema.field(0).type, True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(Centroids(*sent.value))
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
-                rows = [r for r in zip(*(batch.column(k).slice(lo, 128).to_pylist() for k in range(6))) if r[1] and not r[1].isspace()]
-                cols: list[list] = [[] for _ in range(7)]
-                for (i, text, label, *_), (main, sure, passages) in zip(rows, judge.judge([r[1] for r in rows], [r[3] for r in rows], [Template.of(*r[4:]) for r in rows])):
-                    code = label_code(label)
-                    if code in judge.centroids.codes and sure < LEAD:
-                        main = code
-                    for kind, lang, a, b, conf in [("main", main, 0, len(text), sure), *(("passage", *p) for p in passages)]:
-                        for c, v in zip(cols, (i, code, kind, lang, a, b, round(conf, 4))):
-                            c.append(v)
-                types = [batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[id_column, "label", "kind", "lang", "char_start", "char_end", "confidence"])
-
-    schema = f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, label string, kind string, lang string, char_start int, char_end int, confidence double"
-    return with_template(docs.select(id_column, text_column, lang_column, url_column), text_column, url_column).mapInArrow(run, schema)
+                rows = list(zip(*(batch.column(k).slice(lo, 128).to_pylist() for k in range(5))))
+                yield table_of([r[:4] for r in rows], judge.mixed([r[1] for r in rows], [r[4] for r in rows]), judge.centroids.codes, batch.schema.field(0).type, False)
+
+    path = scratch_path(spark, "languages")
+    docs.select(id_column, text_column, lang_column, url_column).mapInArrow(first, schema + ", text string, url string").write.parquet(path)
+    judged = spark.read.parquet(path)
+    mixed = judged.where("text IS NOT NULL").select("id", "text", F.col("label").alias("lang"), "url")
+    found = page_furniture(mixed, template_table(docs, text_column, url_column))
+    again = with_furniture(mixed, found).select("id", "text", "lang", "url", "_lines").mapInArrow(second, schema)
+    return judged.where("text IS NULL").select(*names).union(again).withColumnRenamed("id", id_column)
 
 
 def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

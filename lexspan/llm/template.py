@@ -1,16 +1,19 @@
 """Problem 7: page furniture, by template deduction over lines and menu entries.
 
 The tokens of a page are its lines and the entries of its menu-like lines, with slots for numbers and for the site's own
-name, so that pages of all hosts can be compared. Pages that bear a template are found from the structure of a few lines
-first and from the deduced tokens then. A token's occurrence vector over the pages decides: template tokens occur only on
-pages that bear a template (their class nests in it), those of the legal text also on pages without any. Lines made up of
-template tokens and slots are furniture; the rest is what the template's open slots hold.
+name. A token's occurrence vector says how often it is on each distinct page of its host; tokens of equal vectors make an
+equivalence class. A class on most of a host's pages that is a small part of each, on a host whose pages are otherwise
+unlike, is that host's template, whatever its tokens look like. As most hosts have few pages and their furniture comes from shared stock, occurrences
+are added up over hosts as well: pages known to bear a template, by the structure of a few lines first and by deduced
+tokens then, witness for the other tokens on them; further classes of a host nest in its pages that bear a template. Lines made up of template tokens and slots are furniture; the
+rest is what the template's open slots hold.
 """
 
 from __future__ import annotations
 
+import marshal
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import log
 
 import numpy as np
@@ -20,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm.layout import MARKER, TAG
-from lexspan.sources.tables import materialise, scratch_path, table
+from lexspan.sources.tables import scratch_path, table
 
-#: Longest line that can be a token, longest heading.
+#: Longest line that is looked at for entries, sides and names (longer ones are one token), longest heading.
 LONGEST, SHORT = 200, 60
 #: Least pages of a token on several hosts, of one in a valid class, whatever the number of pages.
 SUPPORT, CLASS_SUPPORT = 5, 3
@@ -30,6 +33,13 @@ SUPPORT, CLASS_SUPPORT = 5, 3
 MAP_BITS = 1 << 26
 #: Least tokens of a valid class.
 CLASS = 3
+#: A host's own template: least pages of its class, least share of the host's pages, greatest share of a page's tokens, and the least
+#: share of the host's other occurrences that belong to tokens of one page.
+ROOT, ROOT_PAGES, ROOT_TOKENS, UNLIKE = 5, 0.5, 0.4, 0.9
+#: Least share of the hosts that know a token well which must have it in their own template.
+ROOT_HOSTS = 0.9
+#: Parts over which hot tokens and pages are spread in joins.
+SALTS = 8
 #: Least share of a token's pages that bear a template, and least evidence in nats against chance: plain, closed by a terminator, with a list marker.
 NESTED, EVIDENCE = 0.9, (4.0, 12.0, 25.0)
 
@@ -131,9 +141,9 @@ class Line:
     def __init__(self, line: str):
         self.clean = c = clean(line)
         self.parts, self.low, self.bits, self.tokens = [], "", 0, []
-        if c and len(c) <= LONGEST:
+        if c:
             self.bits, self.low = shape(c), c.lower()
-            if not self.bits & END_BIT:
+            if not self.bits & END_BIT and len(c) <= LONGEST:
                 self.parts = entries(c)
 
     def own(self, name: Name | None) -> int:
@@ -177,8 +187,6 @@ def page_tokens(text: str, url: str | None) -> tuple[dict[int, int], bool]:
     """How often each token is on a page, and whether some line marks it as one with a template."""
     name, found, seed = name_pattern(host_of(url)), {}, False
     for line in text.split("\n"):
-        if len(line) > LONGEST and "<" not in line:
-            continue
         x = line_of(line)
         if x.low:
             for t in x.all(name):
@@ -187,123 +195,143 @@ def page_tokens(text: str, url: str | None) -> tuple[dict[int, int], bool]:
     return found, seed
 
 
-class Template:
-    """Deduced template tokens and the headings of the text proper."""
+#: Stands for an entry that is the site's own name.
+_SITE = 1
+#: Flags of a line: a copyright line, a menu by its structure, one that may be a short line between furniture, a menu of short entries.
+COPYRIGHT, STRUCTURE, CANDIDATE, LOOSE = 1, 2, 4, 8
 
-    def __init__(self, tokens: np.ndarray, headings: np.ndarray):
-        self.tokens, self.headings, self.all_lines = set(tokens.tolist()), set(headings.tolist()), False
 
-    @classmethod
-    def of(cls, tokens: list[int] | None, headings: list[int] | None) -> Template:
-        """Of the tokens and headings that one page asks for."""
-        out = cls.__new__(cls)
-        out.tokens, out.headings, out.all_lines = set(tokens or ()), set(headings or ()), False
-        return out
+def sketch(text: str, url: str | None, bits: bytes | None = None) -> tuple[set[int], int, list[tuple]] | None:
+    """(keys, number of lines, lines): what has to be known of a page to tell its furniture; None where nothing of it can be furniture.
 
-    def furniture(self, text: str, url: str | None) -> list[int]:
-        """Numbers of the lines of a page that are furniture, from 0."""
-        name, tokens, headings = name_pattern(host_of(url)), self.tokens, self.headings
-        numbers, states, lines = [], [], []
-        for number, line in enumerate(text.split("\n")):
-            if not line or line.isspace():
-                continue
-            x = line_of(line)
-            c, bits = x.clean, x.bits
-            if not c:
-                continue
-            numbers.append(number)
-            lines.append(c)
-            if len(c) > LONGEST:
-                states.append(0)
-                continue
-            token = x.own(name)
-            if token in tokens:
-                states.append(2)
-                continue
-            if c[0] == "©":
-                states.append(2)
-                continue
-            state = 0
-            if not bits & MARK_BIT:
-                if not bits & END_BIT:
-                    state = self._menu(x, name)
-                    if state == 0 and bits & SHORT_BIT and token not in headings:
-                        state = 1
-            states.append(state)
-        if 2 not in states and not self.all_lines:
-            return []
-        n = len(states)
-        for i in range(n):
-            c = lines[i]
-            if states[i] < 2 and len(c) <= 110 and not MARKER.match(c) and (not _CLOSED.search(c) and self._side(c, name) or self._named(c, name)):
-                states[i] = 2
-        i = 0
-        while i < n:
-            if states[i] != 1:
-                i += 1
-                continue
-            j = i
-            while j < n and states[j] == 1:
-                j += 1
-            before, after = i == 0 or states[i - 1] == 2, j == n or states[j] == 2
-            if before and after and j - i <= 3 and not (i == 0 and j == n):
-                states[i:j] = [2] * (j - i)
-            i = j
-        return [k for k, s in zip(numbers, states) if s == 2]
-
-    def _known(self, part: str, name: Name | None) -> int:
-        """2: template token or the site's name, 1: heading, 0: neither."""
-        s = slotted(part.strip(_EDGES), name)
-        if s == "@" or token_id(s, shape(part)) in self.tokens:
-            return 2
-        return int(token_id(s, shape(part)) in self.headings)
-
-    def _menu(self, line: Line, name: Name | None) -> int:
-        parts = line.parts
-        if not parts:
-            return 0
-        known = [self._known(p, name) for p in parts]
-        sure = sum(k == 2 for k in known)
-        if sure and (all(known) or len(parts) - sum(map(bool, known)) <= max(1, len(parts) // 3) and max(map(len, parts)) <= 40 and len(parts) >= 3):
+    keys are those the vocabulary is asked for: a token's own number for the template of all hosts, and the number combined
+    with the host's for the host's own; `bits` is a map of those that may be in it. Each line is (place among the lines that are not blank, number, keys of the
+    line, flags, keys of its entries, keys of a side's heading, keys with another name in the name's slot); lines that can be nothing are left out.
+    """
+    host = host_of(url)
+    name, mine = name_pattern(host), token_id(host)
+    asked: set[int] = set()
+
+    def keys(token: int) -> tuple[int, ...]:
+        own = token ^ mine
+        if bits is None:
+            asked.update((token, own))
+            return token, own
+        k, j = token >> 3 & MAP_BITS - 1, own >> 3 & MAP_BITS - 1
+        if bits[k >> 3] >> (k & 7) & 1:
+            asked.add(token)
+            if bits[j >> 3] >> (j & 7) & 1:
+                asked.add(own)
+                return token, own
+            return (token,)
+        if bits[j >> 3] >> (j & 7) & 1:
+            asked.add(own)
+            return (own,)
+        return ()
+
+    out, place, hopeful = [], -1, False
+    for number, line in enumerate(text.split("\n")):
+        if not line or line.isspace():
+            continue
+        x = line_of(line)
+        c, shown = x.clean, x.bits
+        if not c:
+            continue
+        place += 1
+        own, flags, parts, side, named = keys(x.own(name)), 0, [], (), ()
+        size = len(c)
+        if c[0] == "©":
+            flags |= COPYRIGHT
+        if size <= LONGEST:
+            if x.parts and not shown & MARK_BIT:
+                most = max(map(len, x.parts))
+                for part in x.parts:
+                    slots = slotted(part.strip(_EDGES), name)
+                    parts.append(_SITE if slots == "@" else keys(token_id(slots, shape(part))))
+                if len(parts) >= 4 and most < 30 and size < 140:
+                    flags |= STRUCTURE
+                if not any(parts):
+                    parts = []
+                elif len(parts) >= 3 and most <= 40:
+                    flags |= LOOSE
+            if shown & SHORT_BIT:
+                flags |= CANDIDATE
+            if size <= 110 and not MARKER.match(c):
+                if not shown & END_BIT and (m := _SIDE.match(c)) and len(m.group(2).split()) <= 4:
+                    slots = slotted(m.group(1).strip(_EDGES), name)
+                    side = _SITE if slots == "@" else keys(token_id(slots, shape(m.group(1))))
+                named = tuple(k for probe in _probes(c) for k in keys(token_id(slotted(probe, name), shown)))
+        hopeful = hopeful or bool(own or flags & (COPYRIGHT | STRUCTURE) or parts)
+        if own or flags or parts or side or named:
+            out.append((place, number, own, flags, parts, side, named))
+    return (asked, place + 1, out) if hopeful else None
+
+
+def _probes(line: str) -> list[str]:
+    """A line with a slot in place of each of its names, if that leaves enough to tell it by."""
+    out = []
+    for m in _NAME.finditer(line):
+        for end in {m.end(), m.end(1)}:
+            probe = line[: m.start()] + "@" + line[end:]
+            if len(probe) >= 8:
+                out.append(probe)
+    return out
+
+
+def _menu(known: list[int], loose: bool) -> bool:
+    """Whether a line's entries, 2 for template and 1 for heading, make it a menu."""
+    missing = known.count(0)
+    return 2 in known and (not missing or loose and missing <= max(1, len(known) // 3))
+
+
+def decide(size: int, lines: list[tuple], tokens: set[int], headings: set[int]) -> list[int]:
+    """Numbers of the furniture lines of a page, from its sketch and those of its keys that the vocabulary has."""
+
+    def value(keys: tuple[int, ...] | int) -> int:
+        if keys == _SITE or not tokens.isdisjoint(keys):
             return 2
-        return 2 if len(parts) >= 4 and max(map(len, parts)) < 30 and len(line.clean) < 140 else 0
-
-    def _side(self, line: str, name: Name | None) -> bool:
-        """A heading and another site's name, as in lists of related pages."""
-        m = _SIDE.match(line)
-        return bool(m) and self._known(m.group(1), name) > 0 and len(m.group(2).split()) <= 4
-
-    def _named(self, line: str, name: Name | None) -> bool:
-        """A template token with another name than the host's in the name's slot."""
-        bits = shape(line)
-        for m in _NAME.finditer(line):
-            for end in {m.end(), m.end(1)}:
-                probe = line[: m.start()] + "@" + line[end:]
-                if len(probe) >= 8 and token_id(slotted(probe, name), bits) in self.tokens:
-                    return True
-        return False
-
-
-class _Asked:
-    """Stands for a set of tokens: has none, and keeps what is looked for and is in the map."""
+        return int(not headings.isdisjoint(keys))
+
+    states: list[int] = []
+    for _, _, own, flags, parts, _, _ in lines:
+        if flags & (COPYRIGHT | STRUCTURE) or not tokens.isdisjoint(own) or parts and _menu([value(k) for k in parts], bool(flags & LOOSE)):
+            states.append(2)
+        else:
+            states.append(int(bool(flags & CANDIDATE) and headings.isdisjoint(own)))
+    if 2 not in states:
+        return []
+    for i, line in enumerate(lines):
+        side, named = line[5:]
+        if states[i] < 2 and (side and value(side) or not tokens.isdisjoint(named)):
+            states[i] = 2
+    # Up to three short lines between furniture, or between it and an edge of the page, are furniture.
+    i, n = 0, len(lines)
+    while i < n:
+        if states[i] != 1:
+            i += 1
+            continue
+        j = i + 1
+        while j < n and states[j] == 1 and lines[j][0] == lines[j - 1][0] + 1:
+            j += 1
+        first, final = lines[i][0], lines[j - 1][0]
+        before = first == 0 or i > 0 and states[i - 1] == 2 and lines[i - 1][0] == first - 1
+        after = final == size - 1 or j < n and states[j] == 2 and lines[j][0] == final + 1
+        if before and after and j - i <= 3 and not (first == 0 and final == size - 1):
+            states[i:j] = [2] * (j - i)
+        i = j
+    return [line[1] for line, state in zip(lines, states) if state == 2]
 
-    def __init__(self, bits: bytes):
-        self.bits, self.found = bits, set()
 
-    def __contains__(self, token: int) -> bool:
-        k = token >> 3 & MAP_BITS - 1
-        if self.bits[k >> 3] >> (k & 7) & 1:
-            self.found.add(token)
-        return False
+class Template:
+    """A vocabulary that fits memory: template keys and headings."""
 
+    def __init__(self, tokens: Iterable[int] = (), headings: Iterable[int] = ()):
+        self.tokens, self.headings = set(tokens), set(headings)
 
-def asked_tokens(text: str, url: str | None, bits: bytes) -> set[int]:
-    """Every token in the map that `furniture` may look for on a page, whatever it finds."""
-    t = Template.of(None, None)
-    t.tokens = t.headings = asked = _Asked(bits)
-    t.all_lines = True
-    t.furniture(text, url)
-    return asked.found
+    def furniture(self, text: str, url: str | None) -> list[int]:
+        """Numbers of the lines of a page that are furniture, from 0."""
+        page = sketch(text, url)
+        return decide(*page[1:], self.tokens, self.headings) if page else []
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +382,7 @@ def _first_tokens(pages: DataFrame, base: float) -> DataFrame:
 def _witnessed(pages: DataFrame, known: DataFrame) -> DataFrame:
     """`pages` with hits: how many known template tokens a page has, and one more if its structure shows a template."""
     rows = pages.select("host", "page", F.explode("tokens").alias("token")).join(known, "token", "left_semi")
-    hits = materialise(rows.groupBy("host", "page").agg(F.count(F.lit(1)).cast("int").alias("_h")))
+    hits = _stored(rows.groupBy("host", "page").agg(F.count(F.lit(1)).cast("int").alias("_h")))
     return pages.join(hits, ["host", "page"], "left").select("host", "page", "tokens", "times", (F.coalesce("_h", F.lit(0)) + F.col("seed").cast("int")).alias("hits"))
 
 
@@ -382,32 +410,44 @@ def _nested_tokens(counted: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def equivalence_classes(counted: DataFrame, first: DataFrame) -> DataFrame:
-    """(token, pages, nested, hosts, in_class): tokens by their occurrence vectors on the pages of each host.
+    """(host, token, pages, nested, vector): how a token occurs on the distinct pages of a host.
 
-    The vector of a token on a host is how often it is on each of the host's pages, which are distinct in `counted`, kept as
-    one combined hash. Tokens of equal vectors make a class, valid if it has CLASS tokens on two pages or more and nests in
-    the pages that bear a template; in_class tells whether a token is in a valid class of some host. A token of `first`
-    bears no witness for itself.
+    The vector of a token on a host is how often it is on each of the host's pages, kept as one combined hash; tokens of equal vectors
+    are one equivalence class. nested counts the pages that bear a template by the witness of other tokens. A token of `first` bears no witness for itself.
     """
     rows = counted.select("host", "page", "hits", F.explode(F.arrays_zip("tokens", "times")).alias("_x")).select("host", "page", "hits", F.col("_x.tokens").alias("token"), F.col("_x.times").alias("times"))
-    vectors = _nested(rows.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), *_witnesses(), F.bit_xor(F.xxhash64("page", "times")).alias("vector")), first)
-    classes = vectors.where("pages >= 2 AND nested = pages").groupBy("host", "vector").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= CLASS)
-    several = vectors.where("pages >= 2 AND nested = pages").join(classes, ["host", "vector"], "left_semi").select("token").distinct()
-    sums = vectors.groupBy("token").agg(F.sum("pages").alias("pages"), F.sum("nested").alias("nested"), F.count(F.lit(1)).alias("hosts"))
-    return sums.join(several.withColumn("_v", F.lit(True)), "token", "left").select("token", "pages", "nested", "hosts", F.coalesce("_v", F.lit(False)).alias("in_class"))
+    grouped = rows.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), *_witnesses(), F.bit_xor(F.xxhash64("page", "times")).alias("vector"))
+    return _nested(grouped, first).select("host", "token", "pages", "nested", "vector")
+
+
+def valid_classes(vectors: DataFrame, pages: DataFrame) -> DataFrame:
+    """(host, vector, root): the valid classes of every host, of CLASS tokens on two pages or more.
+
+    A root class needs no witness: it is on ROOT pages and on the share ROOT_PAGES of the host's or more, makes up a small part of
+    a page, and the pages are unlike otherwise. All other valid classes nest in the pages that bear a template.
+    """
+    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("_all"))
+    spread = vectors.groupBy("host").agg(F.sum("pages").alias("_sum"), F.sum(F.when(F.col("pages") == 1, 1).otherwise(0)).alias("_single"))
+    classes = vectors.where("pages >= 2").groupBy("host", "vector").agg(F.count(F.lit(1)).alias("_size"), F.max("pages").alias("pages"), F.bool_and(F.col("nested") == F.col("pages")).alias("_nests")).where(F.col("_size") >= CLASS)
+    known = classes.join(sizes.hint("merge"), "host").join(spread.hint("merge"), "host")
+    often = (F.col("pages") >= ROOT) & (F.col("pages") >= ROOT_PAGES * F.col("_all"))
+    small = F.col("_size") * F.col("_all") <= ROOT_TOKENS * F.col("_sum")
+    root = often & small & (F.col("_single") >= UNLIKE * (F.col("_sum") - F.col("_size") * F.col("pages")))
+    return known.select("host", "vector", root.alias("root"), "_nests").where("root OR _nests").drop("_nests")
 
 
 def template_table(docs: DataFrame, text_column: str = "text", url_column: str = "url") -> DataFrame:
-    """(token, furniture): template tokens and, with furniture false, headings of all pages of `docs`.
-
-    Hosts have few pages each and their templates share most tokens, so the classes' occurrences are added up over hosts:
-    a token belongs to the template if its pages nest in those that bear one and are too many for chance, or, with
-    less support, if it is in a valid class as well. All pages are counted; counts are taken before the shuffle, so a host
-    or line with a third of all rows costs one row a task. Exact copies of a text on one host are one page, as their
-    vectors would be equal whatever their lines are. The supports do not depend on the number of pages, and no vocabulary is collected: its tables
-    stay distributed. A null url gives an empty host; null, empty and blank texts are no pages.
+    """(key, furniture): the template's keys and, with furniture false, headings of all pages of `docs`.
+
+    A key is a token's number, or the number combined with a host's for tokens of that host's own template: those of its root
+    class, unless other hosts that know them as well mostly have them outside of theirs. Hosts have few pages each and their
+    templates share most tokens, so occurrences are added up over hosts too: a token belongs to the template of all if its
+    pages nest in those that bear one and are too many for chance, or, with less support, if it is in a valid class as well.
+    All pages are counted; counts are taken before the shuffle, so a host or line with a third of all rows costs one row a
+    task. Exact copies of a text on one host are one page, as their vectors would be equal whatever their lines are. The supports do not depend
+    on the number of pages, and no vocabulary is collected: its tables stay distributed. A null url gives an empty host; null, empty and blank texts are no pages.
     """
-    pages = materialise(docs.select(F.col(text_column).alias("text"), F.col(url_column).alias("url")).mapInArrow(_pages, _PAGES).dropDuplicates(["host", "page"]))
+    pages = _stored(docs.select(F.col(text_column).alias("text"), F.col(url_column).alias("url")).mapInArrow(_pages, _PAGES).dropDuplicates(["host", "page"]))
     shown = pages.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("seed").cast("int")), F.lit(0)).alias("t")).first()
     base = min(0.95, max(0.02, shown["t"] / max(1, shown["n"])))
     first = _first_tokens(pages, base)
@@ -417,23 +457,32 @@ def template_table(docs: DataFrame, text_column: str = "text", url_column: str =
     first = _stored(first.union(wider.select("token")).distinct())
     counted = _witnessed(pages, first)
     base = _bearing(counted)
+    vectors = _stored(equivalence_classes(counted, first))
+    valid = valid_classes(vectors, pages)
+    classed = _stored(vectors.where("pages >= 2").join(valid.hint("merge"), ["host", "vector"]).where("root OR nested = pages").select("host", "token", "root", (F.col("nested") == F.col("pages")).alias("inner")))
+    known = vectors.groupBy("token").agg(F.sum("pages").alias("pages"), F.sum("nested").alias("nested"), F.count(F.lit(1)).alias("hosts"), F.sum((F.col("pages") >= ROOT).cast("int")).alias("_well"))
+    mine = classed.groupBy("token").agg(F.bool_or("inner").alias("_v"), F.sum(F.col("root").cast("int")).alias("_roots"))
+    sums = known.join(mine.hint("merge"), "token", "left").withColumn("in_class", F.coalesce("_v", F.lit(False)))
     rate = F.col("nested") / F.col("pages")
     plain = F.col("token").bitwiseAND(MARK_BIT | END_BIT) == 0
     frequent = (F.col("pages") >= SUPPORT) & (F.col("hosts") > 1)
     accepted = (rate >= NESTED) & ((frequent & _evident(base)) | ((F.col("pages") >= CLASS_SUPPORT) & F.col("in_class") & plain))
     heading = frequent & (F.col("token").bitwiseAND(SHORT_BIT) != 0) & (rate < NESTED)
-    return _stored(equivalence_classes(counted, first).where(accepted | heading).select("token", accepted.alias("furniture")))
+    own = (F.col("_roots") > 0) & ((F.col("hosts") == 1) | (F.col("_roots") > 1) & (F.col("_roots") >= ROOT_HOSTS * F.col("_well")))
+    judged = _stored(sums.select("token", accepted.alias("accepted"), heading.alias("heading"), F.coalesce(own, F.lit(False)).alias("own")).where("accepted OR heading OR own"))
+    roots = classed.where("root").join(judged.where("own AND NOT accepted").hint("merge"), "token", "left_semi")
+    return _stored(judged.where("accepted OR heading").select(F.col("token").alias("key"), F.col("accepted").alias("furniture")).union(roots.select(F.col("token").bitwiseXOR(F.col("host")), F.lit(True))).distinct())
 
 
-def deduce_template(docs: DataFrame, text_column: str = "text", url_column: str = "url") -> tuple[np.ndarray, np.ndarray]:
-    """(template tokens, headings) of `template_table`, collected; for tables whose vocabulary fits the driver."""
+def deduce_template(docs: DataFrame, text_column: str = "text", url_column: str = "url") -> Template:
+    """`template_table`, collected; for small tables whose vocabulary fits the driver."""
     final = template_table(docs, text_column, url_column).collect()
-    return np.array([r["token"] for r in final if r["furniture"]], np.int64), np.array([r["token"] for r in final if not r["furniture"]], np.int64)
+    return Template([r["key"] for r in final if r["furniture"]], [r["key"] for r in final if not r["furniture"]])
 
 
-def _token_map(tokens: DataFrame) -> bytes:
-    """MAP_BITS bits, set where some token has its place."""
-    place = tokens.select(F.shiftright("token", 3).bitwiseAND(MAP_BITS - 1).alias("k"))
+def _token_map(keys: DataFrame) -> bytes:
+    """MAP_BITS bits, set where some key has its place."""
+    place = keys.select(F.shiftright("key", 3).bitwiseAND(MAP_BITS - 1).alias("k"))
     parts = place.groupBy(F.shiftright("k", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("k").bitwiseAND(32767)).alias("bits"))
     out = np.zeros((MAP_BITS >> 15, 4096), np.uint8)
     for r in parts.collect():
@@ -441,52 +490,74 @@ def _token_map(tokens: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def with_template(docs: DataFrame, text_column: str = "text", url_column: str = "url") -> DataFrame:
-    """`docs` with _tokens and _headings: those of the template and the headings that a page's lines may be held against.
+def page_key(text_column: str, url_column: str) -> F.Column:
+    """A number for a page: its text and url."""
+    return F.xxhash64(text_column, url_column)
+
 
-    The pages ask for tokens, the questions are joined to the distributed table, and the answers to the pages; null where
-    a page has none. What is sent to the workers is a map of MAP_BITS bits that only spares questions.
+def page_furniture(docs: DataFrame, vocabulary: DataFrame, text_column: str = "text", url_column: str = "url") -> DataFrame:
+    """(page, lines): the numbers of the furniture lines of every page of `docs` that has any, ascending; page is its `page_key`.
+
+    Pages are reduced to sketches: the lines that may be furniture and the keys to ask for. The questions are joined to the
+    distributed vocabulary and the answers to the sketches, so texts are neither shuffled nor read again. What is sent
+    to the workers is a map of MAP_BITS bits that only spares questions. Copies of a page are one page.
     """
-    vocabulary = template_table(docs, text_column, url_column)
     sent = docs.sparkSession.sparkContext.broadcast(_token_map(vocabulary))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                keys, tokens = [], []
-                for key, text, url in zip(*(batch.column(k).slice(lo, 512).to_pylist() for k in range(3))):
-                    if text and (found := asked_tokens(text, url, bits)):
-                        keys.append(key)
-                        tokens.append(list(found))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["_page", "tokens"])
-
-    keyed = docs.withColumn("_page", F.xxhash64(text_column, url_column))
-    rows = keyed.select("_page", text_column, url_column).mapInArrow(ask, "_page bigint, tokens array<bigint>").select("_page", F.explode("tokens").alias("token"))
-    one = lambda which: F.collect_set(F.when(which, F.col("token")))
-    found = rows.join(vocabulary, "token").groupBy("_page").agg(one(F.col("furniture")).alias("_tokens"), one(~F.col("furniture")).alias("_headings"))
-    return keyed.join(found, "_page", "left").drop("_page")
+                pages, sketches, keys = [], [], []
+                for page, text, url in zip(*(batch.column(k).slice(lo, 512).to_pylist() for k in range(3))):
+                    if text and (found := sketch(text, url, bits)):
+                        pages.append(page)
+                        sketches.append(marshal.dumps(found[1:]))
+                        keys.append(list(found[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["page", "sketch", "keys"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                pages, lines = [], []
+                for page, seen, tokens, headings in zip(*(batch.column(k).slice(lo, 512).to_pylist() for k in range(4))):
+                    if found := decide(*marshal.loads(seen), set(tokens or ()), set(headings or ())):
+                        pages.append(page)
+                        lines.append(found)
+                yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(lines, pa.list_(pa.int32()))], names=["page", "lines"])
+
+    rows = docs.select(page_key(text_column, url_column).alias("page"), F.col(text_column).alias("text"), F.col(url_column).alias("url"))
+    asked = _stored(rows.mapInArrow(ask, "page bigint, sketch binary, keys array<bigint>"))
+    # A key on a third of all pages is asked for in several places.
+    questions = asked.select("page", "keys").dropDuplicates(["page"]).select("page", F.explode("keys").alias("key"), F.pmod("page", F.lit(SALTS)).cast("int").alias("_s"))
+    answers = vocabulary.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    one = lambda which: F.collect_set(F.when(which, F.col("key")))
+    found = questions.join(answers.hint("merge"), ["key", "_s"]).groupBy("page").agg(one(F.col("furniture")).alias("_tokens"), one(~F.col("furniture")).alias("_headings"))
+    told = asked.select("page", "sketch").dropDuplicates(["page"]).join(found.hint("merge"), "page", "left").select("page", "sketch", "_tokens", "_headings")
+    return _stored(told.mapInArrow(answer, "page bigint, lines array<int>"))
+
+
+def with_furniture(docs: DataFrame, found: DataFrame, text_column: str = "text", url_column: str = "url") -> DataFrame:
+    """`docs` with _lines: the numbers of its furniture lines from `page_furniture`, null where there are none.
+
+    Pages with furniture are looked up in several places, so copies of one page do not meet in one task.
+    """
+    keyed = docs.withColumn("_page", page_key(text_column, url_column)).withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    spread = found.select(F.col("page").alias("_page"), F.col("lines").alias("_lines"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    return keyed.join(spread.hint("merge"), ["_page", "_s"], "left").drop("_page", "_s")
 
 
 def furniture_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", url_column: str = "url") -> DataFrame:
     """(id, line_no) of every non-blank line that is page furniture; lines are divided at the line feed, from 0.
 
-    Texts without any template token or structure have none. Null, empty and blank texts give no rows.
+    Texts without any template token or structure have none. Null, empty and blank texts give no rows; repeated rows and null ids come out as
+    they went in.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                ids, numbers = [], []
-                for i, text, url, tokens, headings in zip(*(batch.column(k).slice(lo, 512).to_pylist() for k in range(5))):
-                    if text:
-                        found = Template.of(tokens, headings).furniture(text, url)
-                        ids += [i] * len(found)
-                        numbers += found
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int32())], names=[id_column, "line_no"])
-
-    schema = f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, line_no int"
-    return with_template(docs.select(id_column, text_column, url_column), text_column, url_column).mapInArrow(run, schema)
+    found = page_furniture(docs, template_table(docs, text_column, url_column), text_column, url_column)
+    # Only ids and page numbers go to the join.
+    keys = docs.select(F.col(id_column), page_key(text_column, url_column).alias("_page"), F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int").alias("_s"))
+    spread = found.select(F.col("page").alias("_page"), F.col("lines").alias("_lines"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    return keys.join(spread.hint("merge"), ["_page", "_s"]).select(id_column, F.explode("_lines").alias("line_no"))
 
 
 def main_text(text: str, furniture: list[int]) -> str:
@@ -505,15 +576,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without its furniture lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "url")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                rows = list(zip(*(batch.column(k).slice(lo, 512).to_pylist() for k in range(5))))
-                texts = [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if (gone := set(Template.of(x, h).furniture(t, u))) else t for _, t, u, x, h in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "main_text"])
-
-    return with_template(docs).mapInArrow(run, "doc_id bigint, main_text string")
+    found = with_furniture(docs, page_furniture(docs, template_table(docs)))
+    kept = F.transform(F.split("text", "\n"), lambda line, number: F.when(F.array_contains("_lines", number), "").otherwise(line))
+    return found.select("doc_id", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("main_text"))
 
 
 QUERIES = {"p7_found": p7_found, "p7_main": p7_main}

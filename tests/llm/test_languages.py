@@ -5,9 +5,7 @@ from __future__ import annotations
 import pytest
 
 from lexspan.llm.languages import Centroids, Judge, fit_centroids, grams, judge_languages, label_code, without_quotations
-from lexspan.llm.template import Template
 from lexspan.sources.tables import table
-import numpy as np
 
 EN = ["The law of the land applies to every one of these terms and to all who use them.", "You may write to us at any time and ask what we know about you.", "We keep the records for as long as the contract lasts and no longer."]
 DE = ["Das Recht des Landes gilt für alle diese Bedingungen und für jeden, der sie nutzt.", "Sie können uns jederzeit schreiben und fragen, was wir über Sie wissen.", "Wir bewahren die Unterlagen so lange auf, wie der Vertrag läuft, und nicht länger."]
@@ -24,14 +22,14 @@ def made() -> Judge:
     for code, texts in (("en", EN), ("de", DE), ("ru", RU)):
         for i in range(30):
             sample.append(("\n".join(texts[(i + k) % 3] for k in range(3)), code if i % 5 else ("nl" if code == "de" else None), 1.0))
-    return Judge(fit_centroids(sample), Template(np.empty(0, np.int64), np.empty(0, np.int64)))
+    return Judge(fit_centroids(sample))
 
 
 def test_wrong_labels_name_no_cluster_and_passages_are_found():
     judge = made()
     assert set(judge.centroids.codes) == {"en", "de", "ru"}
     texts = ["\n".join(EN), "\n".join(DE), "\n".join([*EN, RU[0]]), EN[0] + ' The original reads: "' + DE[0] + '" ' + EN[1] + "\n" + EN[2], "", "12345 !!", "\n".join([*DE, EN[1], EN[2]])]
-    out = judge.judge(texts, [None] * len(texts))
+    out = judge.judge(texts)
     assert [o[0] for o in out[:4]] == ["en", "de", "en", "en"] and out[6][0] == "de"
     assert [p[0] for p in out[2][2]] == ["ru"] and texts[2][out[2][2][0][1] : out[2][2][0][2]].strip() == RU[0]
     assert out[3][2] == [] and {p[0] for p in out[6][2]} == {"en"}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from lexspan.llm.template import Template, clean, deduce_template, entries, furniture_lines, host_of, main_text, slotted, name_pattern
+from lexspan.llm.template import clean, deduce_template, entries, furniture_lines, host_of, main_text, slotted, name_pattern
 from tests.conftest import rows
 
 LEGAL = ["The supplier keeps the goods until they are paid.", "Claims must be made within thirty days.", "This contract follows the law of the seat.", "Nothing here limits the rights of consumers.", "The price is due on delivery.", "Either side may end the contract."]
@@ -62,7 +62,7 @@ def test_pages_get_the_tokens_of_the_whole_template(spark):
     """Joined tokens give the lines that the collected vocabulary gives."""
     rng = random.Random(7)
     docs = spark.createDataFrame([page(rng, i, i % 2 == 0)[0][:3] for i in range(200)], "doc_id long, text string, url string")
-    whole = Template(*deduce_template(docs))
+    whole = deduce_template(docs)
     want = sorted((r["doc_id"], n) for r in docs.collect() for n in whole.furniture(r["text"], r["url"]))
     assert rows(furniture_lines(docs)) == want
 
@@ -72,9 +72,8 @@ def test_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, None, None), (2, "", "x"), (3, " \n ", None), (None, "© 2020 Foo\nA sentence that is here.", None), (4, "Just one sentence.", ""), (4, "Just one sentence.", "")], schema)
     assert rows(furniture_lines(df)) == [(None, 0)]
     assert furniture_lines(df.where("false")).count() == 0
-    tokens, headings = deduce_template(df.where("false"))
-    assert len(tokens) == len(headings) == 0
-    long = Template(tokens, headings)
+    long = deduce_template(df.where("false"))
+    assert len(long.tokens) == len(long.headings) == 0
     assert long.furniture("word " * 400_000 + "\n© x", None) == [1]
 
 
@@ -83,3 +82,45 @@ def test_pieces():
     assert host_of("https://www.foo-bar.example/x") == "foo-bar" and host_of(None) == ""
     assert slotted("Foo Bar 1,5", name_pattern("foobar")) == "@ #"
     assert main_text("a\nb\nc", [1]) == "a\n\nc"
+
+
+WORDS = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "zu", "te", "ar") for b in ("ra", "ni", "so", "pe", "vol") for c in ("", "x", "den", "mor", "st")]
+
+
+def hosts(rng: random.Random, n: int, pages: int, start: int = 0) -> tuple[list[tuple], set[tuple[int, int]]]:
+    """Pages of hosts that each have three head and three foot lines of their own around random bodies, without any copyright line or menu."""
+
+    def line(k: int, closed: bool) -> str:
+        return " ".join(rng.choice(WORDS) for _ in range(k)).capitalize() + ("." if closed else "")
+
+    data, want = [], set()
+    for h in range(n):
+        head, foot = [line(2, False), line(3, False), line(6, True)], [line(3, False), line(45, True), line(5, True)]
+        for _ in range(pages):
+            body = [line(rng.randint(4, 12), True) if rng.random() < 0.8 else line(2, False) for _ in range(rng.randint(8, 20))]
+            i = start + len(data)
+            data.append((i, "\n".join([*head, *body, *foot]), f"https://{WORDS[h % 150]}{h}{start}.example/{i}"))
+            want |= {(i, k) for k in (0, 1, 2)} | {(i, 3 + len(body) + k) for k in range(3)}
+    return data, want
+
+
+def test_own_templates_without_seeds(spark):
+    """Classes of a host's own pages suffice, whatever the form and length of their lines and however many other pages there are."""
+    data, want = hosts(random.Random(11), 40, 10)
+    schema = "doc_id long, text string, url string"
+    got = set(rows(furniture_lines(spark.createDataFrame(data, schema))))
+    assert len(got & want) >= 0.95 * len(want) and got <= want
+    others = [page(random.Random(i), i, i % 2 == 0)[0][:3] for i in range(100_000, 106_000)]
+    more = set(rows(furniture_lines(spark.createDataFrame(data + others, schema).repartition(8)).where("doc_id < 100000")))
+    assert len(more & want) >= 0.95 * len(want) and more <= want
+
+
+def test_revisions_of_one_text_are_no_template(spark):
+    rng = random.Random(12)
+    base = [" ".join(rng.choice(WORDS) for _ in range(8)) + "." for _ in range(30)]
+    data = []
+    for i in range(6):
+        mine = list(base)
+        mine[i] = f"Changed {i} times."
+        data.append((i, "\n".join(mine), "https://same.example/terms"))
+    assert rows(furniture_lines(spark.createDataFrame(data, "doc_id long, text string, url string"))) == []
