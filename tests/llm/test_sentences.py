@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 import pytest
 
 from lexspan.llm.layout import blank_tags, blocks
-from lexspan.llm.sentences import sentence_units, unit_starts, words_th
+from lexspan.llm.sentences import STRAY_COST, WORD_COST, _automaton, lattice_words, sentence_units, unit_starts
 from tests.conftest import rows
 
 
@@ -68,15 +69,55 @@ def test_empty_and_blank_and_long():
     assert len(unit_starts(long)) == 60_000
     assert time.time() - began < 30
     assert unit_starts("x" * 1_000_000) == [0]
+    began = time.time()
+    assert len(unit_starts("Col. A. B. (Etc. " * 50_000)) < 150_000 and time.time() - began < 30
     assert unit_starts('"' * 3000 + ". A") != []
 
 
-def test_thai_words_cover_the_chunk():
-    for chunk in ("เราคืนเงินภายใน", "กขค", "", "ผู้ใช้ยังคงมีสิทธิ"):
-        assert "".join(words_th(chunk)) == chunk
 
 
 def test_frames_with_nulls_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "Ab cd. Ef gh.", 9, "x"), (1, "Ab cd. Ef gh.", 9, "x"), (2, None, 9, "x"), (3, "", 9, "x"), (None, "Z.", None, None)], "doc_id long, text string, char_start long, block string")
     assert rows(sentence_units(df)) == [(1, 0, 7), (1, 0, 7), (1, 7, 13), (1, 7, 13), (None, 0, 2)]
     assert sentence_units(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, units",
+    [
+        ("He arrived on Jan. 5 and left on Feb. 7 by train.", 1),
+        ("The U.S. Senate voted today.", 1),
+        ("He lives in the U.S. The weather is fine.", 2),
+        ("Lt. Gov. Adams spoke.", 1),
+        ("Mt. Everest is high.", 1),
+        ("See fig. 5 and J. R. R. Tolkien. He wrote it.", 2),
+        ("They met at 5 p.m. Then they left.", 2),
+        ("Il a vu M. Dupont à 5 h. Puis il est parti.", 2),
+        ("Der Vertrag endet am 5. Mai 2020. Danach gilt er nicht.", 2),
+        ("วันนี้อากาศดีมาก ฉันไปตลาดกับเพื่อน พวกเขาซื้อผลไม้ แล้วกลับบ้านครับ", 3),
+        ("ขอบคุณมากค่ะ ร้านเปิดทุกวัน", 2),
+        ("今日は晴れです　私は学校に行きました　とても楽しかったです", 3),
+        ("他走了 我们回家吧 明天见", 3),
+        ("東京 大阪 京都", 1),
+    ],
+)
+def test_lattice(text, units):
+    assert len(unit_starts(text)) == units
+
+
+def test_words_cover_whole_chunks():
+    """The cheapest path equals that of a plain search over all cuts."""
+    words = {"ที่", "บ้าน", "ครับ", "น้ำ", "ดี", "ดีมาก", "มาก", "กลับ", "กลับบ้าน"}
+    rng = random.Random(4)
+    for _ in range(200):
+        chunk = "".join(rng.choice([*sorted(words), "ก", "ศ"]) for _ in range(rng.randint(1, 8)))
+        best: list[tuple[float, tuple]] = [(0.0, ())]
+        for to in range(1, len(chunk) + 1):
+            options = [(best[to - 1][0] + STRAY_COST, (*best[to - 1][1], ""))]
+            for w in words:
+                a = to - len(w)
+                if a >= 0 and chunk[a:to] == w and not (to < len(chunk) and chunk[to] in "ะาำิีึืุู่้ั") and not (a and chunk[a - 1] in "เแโใไ"):
+                    options.append((best[a][0] + WORD_COST, (*best[a][1], w)))
+            best.append(min(options, key=lambda x: x[0]))
+        first, last = lattice_words(chunk, _automaton(sorted(words)))
+        assert (first, last) == (best[-1][1][0], best[-1][1][-1])
