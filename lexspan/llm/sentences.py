@@ -413,7 +413,7 @@ def unit_starts(text: str) -> list[int]:
     """Places of the first characters of a text's sentence units, in order."""
     out: list[int] = []
     body = text.strip()
-    one_line = "\n" not in body and len(body) > 150 and "</" not in body
+    one_line = "\n" not in body and "</" not in body
     for at, block in blocks(text):
         size = len(block)
         lead = size - len(block.lstrip())
