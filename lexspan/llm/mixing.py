@@ -14,6 +14,8 @@ from lexspan.sources.tables import materialise, table
 #: Slots of a block permutation; a source's slots are summed before the slot that ends its budget is opened.
 SLOTS = 65536
 SEED = 17
+#: Share of the greatest entropy of the sources' weights in a tempered mixture.
+EVENNESS = 0.9
 
 
 def tempered(shares: dict[str, float], exponent: float) -> dict[str, float]:
@@ -52,14 +54,14 @@ def bisect_exponent(shares: dict[str, float], target_entropy: float | None = Non
     return lo if target_entropy is not None else hi
 
 
-def budgets(tokens: dict[str, int], all_tokens: int, weights: dict[str, int], repeats: dict[str, int]) -> dict[str, int]:
+def budgets(tokens: dict[str, int], all_tokens: int, weights: dict[str, int], repeats: dict[str, int], whole: int = 1000) -> dict[str, int]:
     """Tokens to draw from each source, as many as all documents hold together where the limits allow it.
 
-    Every source gets its wanted share, at most tokens * repeats. What limited sources leave goes to those with room, by
+    Every source gets its wanted share (weights are parts of `whole`), at most tokens * repeats. What limited sources leave goes to those with room, by
     token shares to the power of a bisected exponent (the least that keeps within the room), else filled up to the room.
     """
     limit = {k: tokens[k] * repeats[k] for k in tokens}
-    out = {k: min(weights[k] * all_tokens // 1000, limit[k]) for k in tokens}
+    out = {k: min(weights[k] * all_tokens // whole, limit[k]) for k in tokens}
     left = min(all_tokens, sum(limit.values())) - sum(out.values())
     while left > 0:
         room = {k: limit[k] - out[k] for k in tokens if limit[k] > out[k] and tokens[k]}
@@ -92,12 +94,35 @@ def source_totals(counted: DataFrame, targets: DataFrame) -> tuple[list[dict], i
 
 
 def unreachable(rows: list[dict], total: int) -> list[str]:
-    """Sources whose tokens, repeated as often as allowed, fall short of their share."""
-    return [r["source"] for r in rows if r["tokens"] * r["max_repeats"] * 1000 < r["weight_permille"] * total]
+    """Sources whose whole limit is in their budget and falls short of their share."""
+    drawn = drawn_budgets(rows, total)
+    return [r["source"] for r in rows if drawn[r["source"]] * 1000 < r["weight_permille"] * total and drawn[r["source"]] == r["tokens"] * r["max_repeats"]]
 
 
-def mixture(counted: DataFrame, targets: DataFrame, id_column: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """(id, source, tokens, repeats) of every drawn document; `counted` has id, source and tokens.
+def drawn_budgets(rows: list[dict], total: int) -> dict[str, int]:
+    """The budget of every target source: what `mixture` draws of it."""
+    by = {r["source"]: r for r in rows}
+    return budgets({k: int(r["tokens"]) for k, r in by.items()}, total, {k: r["weight_permille"] for k, r in by.items()}, {k: r["max_repeats"] for k, r in by.items()})
+
+
+def tempered_budgets(rows: list[dict], total: int, evenness: float) -> tuple[float, dict[str, int]]:
+    """The exponent and the budgets of a mixture as large as all documents whose source weights have `evenness` times the greatest entropy.
+
+    Weights are the sources' token shares to the power of the exponent; each budget is at most the source's tokens times its repeats, and
+    what limited sources leave is dealt out as in `budgets`.
+    """
+    by = {r["source"]: r for r in rows if r["tokens"]}
+    held = sum(r["tokens"] for r in by.values())
+    shares = {k: r["tokens"] / held for k, r in by.items()}
+    exponent = bisect_exponent(shares, target_entropy=evenness * math.log(len(shares))) if len(shares) > 1 else 1.0
+    weights = {k: int(1_000_000 * v) for k, v in tempered(shares, exponent).items()}
+    limits = {k: r["max_repeats"] for k, r in by.items()}
+    return exponent, budgets({k: int(r["tokens"]) for k, r in by.items()}, total, weights, limits, 1_000_000)
+
+
+def mixture(counted: DataFrame, targets: DataFrame, id_column: str = "doc_id", seed: int = SEED, evenness: float | None = None) -> DataFrame:
+    """(id, source, tokens, repeats) of every drawn document; `counted` has id, source and tokens. With `evenness` the weights
+    are tempered ones (`tempered_budgets`), else those of `targets`.
 
     A source's documents are drawn in blocks, each a permutation of all of them: as many whole blocks as the budget holds,
     then the documents of the next block whose running sum stays within the rest. Permutations follow a hash, so the draw is
@@ -107,7 +132,7 @@ def mixture(counted: DataFrame, targets: DataFrame, id_column: str = "doc_id", s
     spark = counted.sparkSession
     rows, total = source_totals(counted, targets)
     by = {r["source"]: r for r in rows}
-    drawn = budgets({k: int(r["tokens"]) for k, r in by.items()}, total, {k: r["weight_permille"] for k, r in by.items()}, {k: r["max_repeats"] for k, r in by.items()})
+    drawn = drawn_budgets(rows, total) if evenness is None else tempered_budgets(rows, total, evenness)[1]
     plan = [(k, n // int(by[k]["tokens"]), n % int(by[k]["tokens"])) for k, n in drawn.items() if by[k]["tokens"]]
     at = F.broadcast(spark.createDataFrame(plan, "source string, _blocks bigint, _rest bigint"))
     slot = F.xxhash64(F.lit(seed), F.col("_blocks"), F.col(id_column))
@@ -152,5 +177,24 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return goals.join(drawn, "source", "left").na.fill(0, ["drawn_tokens", "most_repeats"]).select("source", "wanted_permille", reached.alias("reached_permille"), "drawn_tokens", "most_repeats", "reachable")
 
 
-QUERIES = {"p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p9_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture in order: a row for every time a document is drawn, with its source's block and its place in the block's permutation.
+
+    Within a source rows go by (block, place); places are 64-bit numbers in no other order than the permutation's.
+    """
+    drawn = mixture(_counted(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    blocks = drawn.select("doc_id", "source", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("block"))
+    return blocks.select("doc_id", "source", "block", F.xxhash64(F.lit(SEED), F.col("block").cast("long"), "doc_id").alias("place"))
+
+
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached when the sources' token shares are tempered to EVENNESS times the greatest entropy, with the exponent."""
+    counted, targets = _counted(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    rows, total = source_totals(counted, targets)
+    exponent = tempered_budgets(rows, total, EVENNESS)[0]
+    drawn = mixture(counted, targets, evenness=EVENNESS).groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("drawn_tokens"), F.max("repeats").alias("most_repeats"))
+    return drawn.select("source", F.round(F.lit(exponent), 6).alias("exponent"), "drawn_tokens", F.round(F.col("drawn_tokens") * 1000.0 / F.lit(max(1, total)), 3).alias("reached_permille"), "most_repeats")
+
+
+QUERIES = {"p9_blocks": p9_blocks, "p9_tempered": p9_tempered, "p9_found": p9_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 SQL: dict[str, str] = {}

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.operators.components import components
+from lexspan.operators.joins import lookup
 from lexspan.operators.references import current_rows
-from lexspan.sources.tables import materialise, scratch_path, table
+from lexspan.sources.tables import materialise, scratch_path, stored, table
 
 #: Slots by which small new components are dealt out; components over LARGE of the total weight (fewer than 1/LARGE) go one by one.
 SLOTS, LARGE = 4096, 0.002
@@ -24,6 +25,9 @@ def extend_components(edges: DataFrame, weights: DataFrame, prior: DataFrame, ta
     splits puts the whole of them into `quarantine`, which stays. Repeated links count once. Targets with null or no
     positive share are left out; with no target left every new component is quarantined.
 
+    No side of a join is broadcast but one row a slot, and a component's nodes are spread over several tasks where they look up their root or split. The
+    table is written anew with every batch: only its contraction is confined to the batch.
+
     Ends of links are replaced by their earlier components first, so only the batch and the components it touches are
     contracted (by pointer jumping), not the whole history. Large new components are placed greedily by weight: fewer than
     1 / LARGE rows; the others by the sums of SLOTS hash slots: both bounds hold for data of any size.
@@ -32,15 +36,15 @@ def extend_components(edges: DataFrame, weights: DataFrame, prior: DataFrame, ta
     ends = edges.select(F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b")).where("a IS NOT NULL").distinct()
     known = prior.select("node", "component")
     for end in ("a", "b"):
-        ends = ends.join(known.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+        ends = lookup(ends, known.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "b" if end == "a" else "a", parts=4)
     ends = materialise(ends)
     roots = materialise(components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))))
     moved = roots.select(F.col("node").alias("component"), F.col("root").alias("_root"))
-    old = prior.join(moved, "component", "left").select("node", F.coalesce("_root", "component").alias("component"), "split")
+    old = lookup(prior, moved, "component", "node").select("node", F.coalesce("_root", "component").alias("component"), "split")
     new = ends.select(F.col("a").alias("node"), F.coalesce("_a", "a").alias("component")).union(ends.select(F.col("b").alias("node"), F.coalesce("_b", "b").alias("component"))).distinct()
-    new = new.join(known.select("node"), "node", "left_anti").join(moved, "component", "left").select("node", F.coalesce("_root", "component").alias("component"), F.lit(None).cast("string").alias("split"))
+    new = lookup(new.join(known.select("node").hint("merge"), "node", "left_anti"), moved, "component", "node").select("node", F.coalesce("_root", "component").alias("component"), F.lit(None).cast("string").alias("split"))
     every = materialise(old.union(new))
-    sized = every.join(weights.groupBy("node").agg(F.sum("weight").alias("weight")), "node", "left")
+    sized = every.join(weights.groupBy("node").agg(F.sum("weight").alias("weight")).hint("merge"), "node", "left")
     totals = materialise(
         sized.groupBy("component").agg(
             F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"),
@@ -73,8 +77,8 @@ def extend_components(edges: DataFrame, weights: DataFrame, prior: DataFrame, ta
         slots = place([(r["_slot"], r["n"]) for r in small.groupBy("_slot").agg(F.sum("weight").alias("n")).orderBy(F.desc("n"), "_slot").collect()])
         placed = small.join(F.broadcast(spark.createDataFrame(slots, "_slot int, _new string")), "_slot").select("component", "_new")
         placed = placed.union(spark.createDataFrame(big_rows, "component string, _new string"))
-    final = totals.join(placed, "component", "left").select("component", F.coalesce("split", "_new").alias("split"))
-    return every.select("node", "component").join(final, "component").select("node", "component", "split")
+    final = totals.join(placed.hint("merge"), "component", "left").select("component", F.coalesce("split", "_new").alias("split"))
+    return lookup(every.select("node", "component"), final, "component", "node", "inner").select("node", "component", "split")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +102,7 @@ def torn_groups(spans: DataFrame, membership: DataFrame, group: str = "case_id",
     or component with a third of all spans is one row per group by then.
     """
     per_doc = spans.where(F.col("_doc").isNotNull() & F.col(fold).isNotNull()).groupBy(group, "_doc").agg(F.min(fold).alias("_lo"), F.max(fold).alias("_hi"))
-    per = per_doc.join(membership, "_doc").groupBy(group, "component").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    per = per_doc.join(membership.hint("merge"), "_doc").groupBy(group, "component").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     return per.where("_lo < _hi").select(group, "component")
 
 
@@ -109,14 +113,14 @@ def _node(kind: str, column: str) -> F.Column:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Services torn apart by the folds of the spans, per case.
 
-    The listed services and their documents are the component table's nodes; a component's root is its service.
+    The membership is the component table's: the component of a service's documents has the service as its least node.
     """
-    listed = table(spark, sf_dir, "services").select(F.col("id").alias("service_id")).where("service_id IS NOT NULL").distinct()
-    docs = _documents(spark, sf_dir).where("service_id IS NOT NULL AND doc_id IS NOT NULL").join(listed, "service_id", "left_semi")
-    roots = components(docs.select(_node("a", "service_id").alias("a"), _node("b", "doc_id").alias("b")))
-    of = roots.where("node LIKE 'b:%'").select(F.substring("node", 3, 20).cast("long").alias("_doc"), F.substring("root", 3, 20).cast("long").alias("component"))
+    state = split_table(spark, sf_dir).where("node LIKE 'b:%' AND component LIKE 'a:%'")
+    of = stored(state.select(F.substring("node", 3, 20).cast("long").alias("_doc"), F.substring("component", 3, 20).cast("long").alias("component")), "membership")
     spans = span_documents(table(spark, sf_dir, "sent_spans").select("case_id", "point_id", "document_id", "fold"), table(spark, sf_dir, "points"))
-    return torn_groups(spans, of).select("case_id", F.col("component").alias("service_id"))
+    torn = torn_groups(spans, of).select("case_id", F.col("component").alias("service_id"))
+    listed = table(spark, sf_dir, "services").select(F.col("id").alias("service_id")).where("service_id IS NOT NULL").distinct()
+    return torn.join(listed.hint("merge"), "service_id", "left_semi").select("case_id", "service_id")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

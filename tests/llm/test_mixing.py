@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from lexspan.llm.mixing import bisect_exponent, budgets, entropy, mixture, source_totals, tempered, unreachable
+from lexspan.llm.mixing import bisect_exponent, budgets, entropy, mixture, source_totals, tempered, tempered_budgets, unreachable
 
 TARGET = "source string, weight_permille int, max_repeats int"
 
@@ -52,3 +52,15 @@ def test_unreachable_and_empty(spark):
     assert unreachable(*source_totals(df, targets)) == ["b"]
     assert mixture(df.where("false"), targets).count() == 0
     assert {r["doc_id"]: r["repeats"] for r in mixture(df, targets).collect()}[2] == 2
+
+
+def test_tempered_budgets_meet_the_entropy(spark):
+    rows = [{"source": "a", "tokens": 90_000, "weight_permille": 0, "max_repeats": 1}, {"source": "b", "tokens": 9_000, "weight_permille": 0, "max_repeats": 9}, {"source": "c", "tokens": 1_000, "weight_permille": 0, "max_repeats": 90}, {"source": "d", "tokens": 0, "weight_permille": 5, "max_repeats": 9}]
+    exponent, drawn = tempered_budgets(rows, 100_000, 0.7)
+    assert 0 < exponent < 1 and sum(drawn.values()) <= 100_000
+    assert math.isclose(entropy({k: v / sum(drawn.values()) for k, v in drawn.items()}), 0.7 * math.log(3), abs_tol=1e-3)
+    assert tempered_budgets([], 0, 0.7) == (1.0, {})
+    df = counted(spark, [(i, "ab"[i % 10 == 0], 10) for i in range(1000)])
+    targets = spark.createDataFrame([("a", 0, 1), ("b", 0, 3)], TARGET)
+    sizes = {r["source"]: r["n"] for r in mixture(df, targets, evenness=0.9).groupBy("source").agg({"tokens": "count"}).withColumnRenamed("count(tokens)", "n").collect()}
+    assert sizes["b"] == 100 and sizes["a"] < 900
