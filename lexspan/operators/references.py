@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.operators.joins import match
+from lexspan.sources.tables import stored
+
 
 def current_rows(df: DataFrame, key: str, version: str, columns: list[str], tie: str | None = None) -> DataFrame:
     """One row per `key`: the one with the greatest `version`.
@@ -20,6 +23,11 @@ def current_rows(df: DataFrame, key: str, version: str, columns: list[str], tie:
     return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in columns if c != key])
 
 
+def utc_month(at: str) -> Column:
+    """The month of a time as YYYY-MM, in UTC whatever the session's zone is."""
+    return F.substring(F.date_from_unix_date(F.floor(F.unix_seconds(at) / 86400).cast("int")).cast("string"), 1, 7)
+
+
 def orphans(
     records: DataFrame,
     parents: DataFrame,
@@ -39,8 +47,9 @@ def orphans(
     reference; a null time on either side is never late; its record's period is null. Repeated parent rows count once
     (deleted if any is, created at the earliest). Repeated records give repeated rows.
 
-    The records' keys are reduced to one row per distinct key before any shuffle, so a hot key weighs nothing; a left
-    anti-join finds missing keys, and only suspect keys (missing, deleted or younger than some record) are joined back.
+    The records' keys are reduced to one row per distinct key before any shuffle; a left anti-join finds missing keys, and only
+    suspect keys (missing, deleted or younger than some record) are joined back: sent to the records while they are few,
+    else with the records of every key spread over several tasks, so a hot key meets in none. Periods are months of UTC in any session zone.
     """
     deleted = F.lit(False) if parent_deleted is None else F.coalesce(parent_deleted, F.lit(False))
     born = F.lit(None).cast("timestamp") if parent_created_at is None else F.col(parent_created_at)
@@ -61,7 +70,7 @@ def orphans(
         suspect = missing.unionByName(present.select("_k", F.lit(False).alias("_missing"), "_del", "_born"))
     kind = F.when(F.col("_missing"), "missing").when(F.col("_del"), "deleted").when(F.col("_born") > F.col("_at"), "late")
     return (
-        rows.join(suspect, "_k")
+        match(rows, stored(suspect, "suspects"), "_k", "record_id")
         .withColumn("kind", kind)
         .where(F.col("kind").isNotNull())
         .select(
@@ -69,7 +78,7 @@ def orphans(
             F.lit(field).alias("field"),
             "record_id",
             "kind",
-            F.date_format("_at", "yyyy-MM").alias("period"),
+            utc_month("_at").alias("period"),
         )
     )
 

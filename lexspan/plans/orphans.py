@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.operators.references import current_rows, orphan_report, orphans, union_all
-from lexspan.sources.tables import table
+from lexspan.sources.tables import stored, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references of the current points and of the documents."""
-    points = current_rows(table(spark, sf_dir, "points"), "id", "updated_at", ["id", "document_id", "case_id", "created_at"], tie="ingested_at")
+    points = stored(current_rows(table(spark, sf_dir, "points"), "id", "updated_at", ["id", "document_id", "case_id", "created_at"], tie="ingested_at"), "points")
     documents = table(spark, sf_dir, "documents")
     services = table(spark, sf_dir, "services")
     cases = table(spark, sf_dir, "cases")

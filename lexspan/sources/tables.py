@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(set_dir)
         return set_dir
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexspan-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -32,6 +34,13 @@ def materialise(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again: its size is known, and only the columns asked for are read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

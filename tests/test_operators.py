@@ -44,6 +44,33 @@ def test_orphans_kinds_nulls_and_repeats(spark):
     assert rows(orphan_report(found(spark, records, parents, **timed)).where("kind = 'missing'").select("period", "orphans")) == [("2020-01", 2), (None, 1)]
 
 
+def test_periods_are_months_of_utc(spark):
+    records = [(1, 9, datetime(2020, 1, 31, 23, 30, tzinfo=timezone.utc)), (2, 9, datetime(2020, 2, 1, 0, 30, tzinfo=timezone.utc)), (3, 9, datetime(1969, 12, 31, 23, 59, tzinfo=timezone.utc))]
+    try:
+        for zone in ("America/Los_Angeles", "Asia/Tokyo", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            df = spark.createDataFrame(records, "id long, k long, at timestamp")
+            got = orphans(df, df.where("false"), table_name="t", field="k", record_id="id", created_at="at", parent_key="k")
+            assert rows(got.select("record_id", "period")) == [(1, "2020-01"), (2, "2020-02"), (3, "1969-12")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_third_of_all_rows_on_one_key(spark, monkeypatch):
+    """The same rows whether the suspects are sent out or looked up in parts."""
+    records = [(i, 7 if i % 3 == 0 else i, day(i % 300)) for i in range(900)] + [(None, 7, None)]
+    parents = [(i, i % 5 == 0, day(100)) for i in range(8, 900)]
+
+    def found_rows():
+        df = spark.createDataFrame(records, "id long, k long, at timestamp")
+        of = spark.createDataFrame(parents, "k long, gone boolean, born timestamp")
+        return rows(orphans(df, of, table_name="t", field="k", record_id="id", created_at="at", parent_key="k", parent_deleted=F.col("gone"), parent_created_at="born").select("record_id", "kind", "period"))
+
+    want = found_rows()
+    monkeypatch.setattr("lexspan.operators.joins.SMALL", 0)
+    assert found_rows() == want and sum(r[1] == "missing" for r in want) >= 301
+
+
 def test_orphans_of_empty_tables(spark):
     assert rows(found(spark, [], [(1, None, day(1), None)])) == []
     assert [r[2] for r in rows(found(spark, [(5, 1, day(1), None)], []))] == [5]
