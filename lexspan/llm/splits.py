@@ -115,7 +115,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The membership is the component table's: the component of a service's documents has the service as its least node.
     """
-    state = split_table(spark, sf_dir).where("node LIKE 'b:%' AND component LIKE 'a:%'")
+    state = split_table(spark, sf_dir, ("9999-01-01",)).where("node LIKE 'b:%' AND component LIKE 'a:%'")
     of = stored(state.select(F.substring("node", 3, 20).cast("long").alias("_doc"), F.substring("component", 3, 20).cast("long").alias("component")), "membership")
     spans = span_documents(table(spark, sf_dir, "sent_spans").select("case_id", "point_id", "document_id", "fold"), table(spark, sf_dir, "points"))
     torn = torn_groups(spans, of).select("case_id", F.col("component").alias("service_id"))
