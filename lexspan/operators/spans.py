@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import blank_tags, occurrences, part, sentence_list
 
 
-def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, sent_idx, sent_start, sent_end) of the non-blank sentences of every text with its tags blanked.
+def sentences(docs: DataFrame, text: str = "text", **features: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, sent_idx, sent_start, sent_end, features) of the non-blank sentences of every text with its tags blanked.
+
+    `features` are expressions of a sentence's text, computed where it is cut.
 
     An end is the next sentence's start, or the text's length. Null texts and ids have no rows, blank texts none. Only
     lengths are shuffled, not the text.
     """
     pieces = docs.where(F.col(text).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.length(text).alias("_n"), F.posexplode(sentence_list(blank_tags(text))).alias("_k", "_p"))
-    sized = pieces.select("doc_id", "_n", "_k", F.length("_p").alias("_l"), F.col("_p").rlike(r"\S").alias("_full"))
+    sized = pieces.select("doc_id", "_n", "_k", F.length("_p").alias("_l"), F.col("_p").rlike(r"\S").alias("_full"), *[f(F.col("_p")).alias(c) for c, f in features.items()])
     by = W.partitionBy("doc_id").orderBy("_k")
     placed = sized.withColumn("sent_start", (F.sum("_l").over(by) - F.col("_l")).cast("int")).where("_full")
-    return placed.select("doc_id", (F.row_number().over(by) - 1).alias("sent_idx"), "sent_start", F.coalesce(F.lead("sent_start").over(by), F.col("_n")).alias("sent_end"))
+    return placed.select("doc_id", (F.row_number().over(by) - 1).alias("sent_idx"), "sent_start", F.coalesce(F.lead("sent_start").over(by), F.col("_n")).alias("sent_end"), *features)
 
 
 def boundary_arrays(sents: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def reviewed_random(t: Tables, points: DataFrame, sizes: DataFrame) -> DataFrame
     """For each case three times as many windows as approved points, in documents drawn from those much annotated; documents with a point of the case are left out."""
     reviewed = t.services.where("is_comprehensively_reviewed").select(F.col("id").alias("service_id")).distinct()
     busy = t.current_points(["id", "document_id"]).groupBy(F.col("document_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("_k")).where("_k >= 10")
-    sents = sentences(t.documents).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    sents = t.starts().select("doc_id", F.size("starts").alias("_n"))
     eligible = t.documents.select("doc_id", "service_id").join(reviewed, "service_id", "left_semi").join(busy, "doc_id", "left_semi").join(sents, "doc_id").select("doc_id", "_n")
     ranked = materialise(hash_rank(eligible, [], "eligible", ["doc_id"]))
     m = F.broadcast(ranked.agg(F.max("group_size").alias("_m")))
@@ -209,7 +209,7 @@ def span_dataset(t: Tables) -> DataFrame:
 @R.add("OP8_span_dataset", f"""WITH {SPANS} SELECT x.case_id, x.document_id, x.lo, x.hi, x.label, x.source, a.sent_start char_start, CAST(coalesce(b.sent_start, length(d.text)) AS INTEGER) char_end
 FROM ds x JOIN documents d ON d.doc_id = x.document_id JOIN sents a ON a.doc_id = x.document_id AND a.sent_idx = x.lo LEFT JOIN sents b ON b.doc_id = x.document_id AND b.sent_idx = x.hi""")
 def span_dataset_query(t: Tables) -> DataFrame:
-    arrays = boundary_arrays(sentences(t.documents)).select(F.col("doc_id").alias("document_id"), "starts")
+    arrays = t.starts().select(F.col("doc_id").alias("document_id"), "starts")
     sizes = t.documents.select(F.col("doc_id").alias("document_id"), F.length("text").alias("_n"))
     rows = span_dataset(t).join(arrays, "document_id").join(sizes, "document_id").withColumn("char_start", F.get("starts", F.col("lo"))).where("char_start IS NOT NULL")
     return rows.select("case_id", "document_id", "lo", "hi", "label", "source", "char_start", F.coalesce(F.get("starts", F.col("hi")), F.col("_n")).alias("char_end"))
@@ -226,6 +226,13 @@ def doc_dataset(t: Tables) -> DataFrame:
     return k.select("case_id", "document_id", F.when(F.col("a"), "positive").otherwise("negative").alias("label"), F.when(F.col("a"), "approved").otherwise("declined").alias("source"))
 
 
+@R.add("SMP11_group_sample", f"WITH {DOCS}, g AS (SELECT case_id, document_id FROM doc_set), d AS (SELECT document_id FROM (SELECT DISTINCT document_id FROM g) QUALIFY {rank_sql('', 'groups', 'document_id')} < 200) SELECT case_id, document_id FROM g WHERE document_id IN (SELECT document_id FROM d)")
+def group_sample(t: Tables) -> DataFrame:
+    """All rows of 200 drawn documents: groups are drawn, not rows."""
+    groups = hash_rank(doc_dataset(t).select("document_id").distinct(), [], "groups", ["document_id"]).where("rank0 < 200").select("document_id")
+    return doc_dataset(t).select("case_id", "document_id").join(groups, "document_id", "left_semi").select("case_id", "document_id")
+
+
 @R.add("OP9_doc_dataset", f"WITH {DOCS} SELECT * FROM doc_set")
 def doc_dataset_query(t: Tables) -> DataFrame:
     return doc_dataset(t)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,4 +54,39 @@ def streamed_versions(t: Tables) -> DataFrame:
     t.spark.createDataFrame([], LOG).write.parquet(f"{root}/log")
     for run in (1, 2):
         run_new_versions(t.spark, f"{root}/in", docs.schema, f"{root}/log", f"{root}/checkpoint{run}", lambda d: d, f"{root}/out")
-    return t.spark.read.schema(docs.schema).parquet(f"{root}/out")
+    return t.spark.read.schema(docs.schema).parquet(f"{root}/out").select(*docs.columns)
+
+
+RUNS = "r AS (SELECT bot_version run_key, case_id, document_id, ml_score FROM bot_records WHERE bot_version IS NOT NULL)"
+
+
+@R.add("SNK6_saved_results", f"WITH {RUNS} SELECT run_key, case_id, document_id, ml_score FROM r")
+def saved_results(t: Tables) -> DataFrame:
+    """The results of every run, each saved under its run key."""
+    path = scratch_path(t.spark, "results")
+    write_partitioned(_results(t), path, "run_key")
+    return t.spark.read.schema("case_id bigint, document_id bigint, ml_score double, run_key string").parquet(path).select("run_key", "case_id", "document_id", "ml_score")
+
+
+@R.add("SRC13_pulled_results", f"WITH {RUNS} SELECT case_id, count(*) n, count(DISTINCT run_key) runs FROM r WHERE case_id IS NOT NULL GROUP BY 1")
+def pulled_results(t: Tables) -> DataFrame:
+    """The union of the results saved case by case."""
+    path = scratch_path(t.spark, "pulled")
+    write_partitioned(_results(t).where("case_id IS NOT NULL"), path, "case_id")
+    return t.spark.read.parquet(path).groupBy(F.col("case_id").cast("bigint").alias("case_id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("run_key").alias("runs"))
+
+
+@R.add("SNK7_refused_overwrite", "SELECT count(*) n, true refused FROM bot_records WHERE bot_version IS NOT NULL")
+def refused_overwrite(t: Tables) -> DataFrame:
+    """Results that are there already are not replaced: the second upload is refused and the first one stays."""
+    path, refused = scratch_path(t.spark, "upload"), False
+    _results(t).write.mode("errorifexists").parquet(path)
+    try:
+        _results(t).limit(0).write.mode("errorifexists").parquet(path)
+    except AnalysisException:
+        refused = True
+    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(refused).alias("refused"))
+
+
+def _results(t: Tables) -> DataFrame:
+    return t.bot_records.where("bot_version IS NOT NULL").select(F.col("bot_version").alias("run_key"), "case_id", "document_id", "ml_score")

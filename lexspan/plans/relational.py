@@ -324,6 +324,22 @@ def declined_only(t: Tables) -> DataFrame:
     return points.where("status = 'declined'").select("document_id").subtract(points.where("status = 'approved'").select("document_id"))
 
 
+@R.add("SET4_merged_options", """WITH l(k, v) AS (VALUES ('weight', '1:1'), ('rebalance', 'none'), ('folds', '5')), r AS (SELECT id case_id, 'weight' k, classification v FROM cases WHERE classification IS NOT NULL UNION ALL SELECT id, 'title', title FROM cases WHERE title IS NOT NULL)
+SELECT c.id case_id, l.k, coalesce(r.v, l.v) v FROM cases c CROSS JOIN l LEFT JOIN r ON r.case_id = c.id AND r.k = l.k UNION ALL SELECT case_id, k, v FROM r WHERE k NOT IN (SELECT k FROM l)""")
+def merged_options(t: Tables) -> DataFrame:
+    """Two maps of options in one: where both have a key the right one's value holds, unless it is null."""
+    left = F.create_map(*[F.lit(x) for x in ("weight", "1:1", "rebalance", "none", "folds", "5")])
+    right = F.create_map(F.lit("weight"), "classification", F.lit("title"), "title")
+    merged = F.map_zip_with(left, right, lambda k, a, b: F.coalesce(b, a))
+    return t.cases.select(F.col("id").alias("case_id"), F.explode(merged).alias("k", "v")).where("v IS NOT NULL")
+
+
+@R.add("SRT6_first_documents", "SELECT doc_id, service_id, lang FROM documents ORDER BY doc_id LIMIT 200")
+def first_documents(t: Tables) -> DataFrame:
+    """The 200 documents of the least ids: the limit is what a trial run asks for."""
+    return t.documents.select("doc_id", "service_id", "lang").orderBy("doc_id").limit(200)
+
+
 @R.add("STR8_regex_capture", "SELECT id case_id, regexp_extract(bot_regex, 'b([a-z]+)', 1) word FROM cases WHERE nullif(trim(bot_regex), '') IS NOT NULL")
 def regex_capture(t: Tables) -> DataFrame:
     return t.cases.where(F.nullif(F.trim("bot_regex"), F.lit("")).isNotNull()).select(F.col("id").alias("case_id"), F.regexp_extract("bot_regex", "b([a-z]+)", 1).alias("word"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from lexspan.operators.search import prefilter, span_search
 from lexspan.operators.spans import sentences
 from lexspan.plans.common import CUR, Registry, Tables
 from lexspan.plans.spans import SENTS
+from lexspan.sources.tables import stored
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -33,13 +36,60 @@ def scorer_sql(lo: str, hi: str) -> str:
     return f"({integer_below_sql(str(LEVELS), 'score', 'doc_id', lo, hi)} / {LEVELS - 1}.0)"
 
 
-PRE = f"""{SENTS}, pf0 AS (SELECT *, {uniform_sql('prefilter', 'doc_id', 'sent_idx')} p FROM sents),
-pf1 AS (SELECT *, p < 0.6 AND row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, sent_idx) > 1 masked FROM pf0),
+#: The prefilter's logistic model: its intercept, its scale and its coefficients over tf-idf weights, as a training run would leave them.
+INTERCEPT, SCALE, LEAST_SCORE = -1.5, 10.0, 0.5
+COEFFICIENTS = {"data": 0.9, "personal": 1.2, "privacy": 0.8, "cookies": 1.1, "delete": 1.3, "third": 0.7, "partners": 0.6, "advertisers": 1.4, "account": 0.4, "suspend": 1.2, "licence": 1.5, "content": 0.5, "liability": 1.3, "dispute": 1.2, "disputes": 1.1, "refunds": 0.9, "notice": 0.6, "records": 0.3, "sell": 1.4, "copy": 0.4, "terms": -0.2, "we": 0.1, "the": -0.1, "version": -0.8}
+_VALUES = ", ".join(f"('{k}', {v})" for k, v in COEFFICIENTS.items())
+
+#: df and idf of the model's terms over the English documents, as in OP14; terms out of its bounds weigh nothing.
+PRE = f"""{SENTS}, model(term, coef) AS (VALUES {_VALUES}), en AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term FROM documents WHERE lang = 'en' AND text IS NOT NULL),
+en_n AS (SELECT count(*) n FROM documents WHERE lang = 'en' AND text IS NOT NULL), idf AS (SELECT term, any_value(coef) coef, ln((any_value(n) + 1) / (count(*) + 1)) + 1 idf FROM en JOIN model USING (term), en_n GROUP BY 1 HAVING count(*) >= 4 AND count(*) <= 0.8 * any_value(n)),
+wd AS (SELECT doc_id, k, regexp_extract_all(lower(piece), '[a-z0-9]+') w FROM pc), tf AS (SELECT doc_id, k, term, count(*) tf FROM (SELECT doc_id, k, unnest(w) term FROM wd) GROUP BY 1, 2, 3),
+z AS (SELECT doc_id, k, sum(coef * idf * sqrt(tf)) z FROM tf JOIN idf USING (term) GROUP BY 1, 2),
+ix AS (SELECT doc_id, k, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) sent_idx FROM st WHERE regexp_matches(piece, '\\S')),
+pf0 AS (SELECT s.*, round(1 / (1 + exp(-({INTERCEPT} + {SCALE} * coalesce(z.z, 0) / greatest(len(wd.w), 1)))), 6) p FROM sents s JOIN ix USING (doc_id, sent_idx) JOIN wd USING (doc_id, k) LEFT JOIN z USING (doc_id, k)),
+pf1 AS (SELECT *, p < {LEAST_SCORE} AND row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, sent_idx) > 1 masked FROM pf0),
 pf AS (SELECT doc_id, sent_idx, sent_start, sent_end, masked, round(avg(masked::INT) OVER (PARTITION BY doc_id), 6) filter_rate FROM pf1)"""
 
 
-def masked(t: Tables) -> DataFrame:
-    return prefilter(sentences(t.documents), ["doc_id"], uniform("prefilter", "doc_id", "sent_idx"), 0.6)
+def model_terms(t: Tables) -> DataFrame:
+    """(term, weight): the model's coefficients times the terms' inverse frequency over the English documents; at most as many rows as coefficients."""
+    docs = t.documents.where("lang = 'en' AND text IS NOT NULL")
+    used = docs.select(F.explode(F.array_distinct(model_words(F.col("text")))).alias("term"))
+    n = F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))
+    coefficients = t.spark.createDataFrame(list(COEFFICIENTS.items()), "term string, coef double")
+    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(n).where((F.col("df") >= 4) & (F.col("df") <= 0.8 * F.col("n")))
+    return df.join(F.broadcast(coefficients), "term").select("term", (F.col("coef") * (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("weight"))
+
+
+def all_words(text: F.Column) -> F.Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def model_words(text: F.Column) -> F.Column:
+    """The words of a text that the model knows, in order."""
+    return F.filter(all_words(text), lambda w: w.isin(*COEFFICIENTS))
+
+
+def _is(term: str) -> Callable[[F.Column], F.Column]:
+    return lambda w: w == term
+
+
+def model_score(t: Tables, words: F.Column, size: F.Column) -> F.Column:
+    """The probability of a sentence from the words of it that the model knows and the number of all its words.
+
+    The weights are as few as the model's coefficients: they are collected and stand in the expression, so nothing is joined.
+    """
+    z = F.lit(0.0)
+    for term, weight in sorted((r["term"], r["weight"]) for r in model_terms(t).collect()):
+        z = z + F.lit(weight) * F.sqrt(F.size(F.filter(words, _is(term))).cast("double"))
+    return F.round(1 / (1 + F.exp(-(INTERCEPT + SCALE * z / F.greatest(size, F.lit(1))))), 6)
+
+
+def masked(t: Tables, docs: DataFrame | None = None) -> DataFrame:
+    """The sentences of `docs` (all documents) with those masked that the model gives too low a score."""
+    sents = sentences(t.documents if docs is None else docs, _words=model_words, _size=lambda p: F.size(all_words(p)))
+    return prefilter(sents, ["doc_id"], model_score(t, F.col("_words"), F.col("_size")), LEAST_SCORE).drop("_words", "_size")
 
 
 def grow_sql(before: str, side: str) -> str:
@@ -60,8 +110,9 @@ def prefilter_query(t: Tables) -> DataFrame:
     return masked(t).select("doc_id", "sent_idx", "masked", "filter_rate")
 
 
-def found(t: Tables) -> DataFrame:
-    return span_search(masked(t), ["doc_id"], scorer).withColumn("score", F.round("score", 6))
+def found(t: Tables, docs: DataFrame | None = None) -> DataFrame:
+    """The best span of every document of `docs`, of all without it."""
+    return span_search(masked(t, docs), ["doc_id"], scorer).withColumn("score", F.round("score", 6))
 
 
 @R.add("OP21_span_search", f"WITH {SEARCH} SELECT * FROM found")
@@ -71,9 +122,9 @@ def span_search_query(t: Tables) -> DataFrame:
 
 @R.add("OP28_found_spans", f"WITH {SEARCH} SELECT f.doc_id, f.score, substr(d.text, char_start + 1, char_end - char_start) quote FROM found f JOIN documents d USING (doc_id) WHERE score >= 0.9 AND d.lang = 'en'")
 def found_spans(t: Tables) -> DataFrame:
-    """Spans over the threshold in English documents, with their text as it stands in the document."""
+    """Spans over the threshold in English documents, which alone are searched, with their text as it stands in the document."""
     docs = t.documents.where("lang = 'en'").select("doc_id", "text")
-    return found(t).where("score >= 0.9").join(docs, "doc_id").select("doc_id", "score", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("quote"))
+    return found(t, docs).where("score >= 0.9").join(docs, "doc_id").select("doc_id", "score", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("quote"))
 
 
 @R.add("OP22_attached_predictions", f"WITH {SEARCH} SELECT d.doc_id, d.source, f.score pred_score, f.num_sents pred_num_sents, CASE WHEN f.score >= 0.95 THEN 1 ELSE 0 END pred_label FROM documents d LEFT JOIN found f USING (doc_id)")
@@ -90,23 +141,35 @@ run AS (SELECT p.case_id, p.document_id, d.text_version, f.score, f.char_start,
 
 
 def run_status(t: Tables, log: DataFrame) -> DataFrame:
-    """What a run does with every pair of case and document: the first condition that holds names its status."""
+    """What a run does with every pair of case and document: the first condition that holds names its status.
+
+    The status comes first; only documents that some case is to be run on are searched. Skipped pairs have no score and no span.
+    """
     pairs = t.bot_records.where("case_id IS NOT NULL AND document_id IS NOT NULL").select("case_id", "document_id").distinct()
     docs = t.documents.select(F.col("doc_id").alias("document_id"), "text_version", "lang", is_blank("text").alias("_blank"), F.lit(True).alias("_known"))
     seen = log.select("case_id", "document_id", "text_version", F.lit(True).alias("_seen")).distinct()
     other = t.current_points(["id", "case_id", "document_id", "status"]).where(~F.col("status").isin("declined", "draft")).select("case_id", "document_id", F.lit(True).alias("_other")).distinct()
-    spans = found(t).select(F.col("doc_id").alias("document_id"), "score", "char_start", "char_end")
-    rows = pairs.join(docs, "document_id", "left").join(seen, ["case_id", "document_id", "text_version"], "left").join(other, ["case_id", "document_id"], "left").join(spans, "document_id", "left")
-    status = (
+    rows = pairs.join(docs, "document_id", "left").join(seen, ["case_id", "document_id", "text_version"], "left").join(other, ["case_id", "document_id"], "left")
+    skipped = (
         F.when(F.col("_seen"), "skip_visited")
         .when(F.col("_known").isNull(), "skip_notfound")
         .when(F.col("_blank"), "skip_empty")
         .when(~F.col("lang").eqNullSafe("en"), "skip_non_en")
         .when(F.col("_other"), "skip_points")
-        .when(F.col("score") >= 0.98, "ran_found")
-        .otherwise("ran_notfound")
     )
-    return rows.select("case_id", "document_id", "text_version", "score", "char_start", "char_end", status.alias("status"))
+    rows = stored(rows.select("case_id", "document_id", "text_version", skipped.alias("_skipped")), "pairs")
+    asked = to_search(rows)
+    spans = found(t, t.documents.join(asked, "doc_id", "left_semi")).select(F.col("doc_id").alias("document_id"), "score", "char_start", "char_end")
+    ran = rows.where("_skipped IS NULL").join(spans, "document_id", "left")
+    ran = ran.withColumn("status", F.when(F.col("score") >= 0.98, "ran_found").otherwise("ran_notfound"))
+    kept = ["case_id", "document_id", "text_version", "score", "char_start", "char_end", "status"]
+    none = rows.where("_skipped IS NOT NULL").select("case_id", "document_id", "text_version", *[F.lit(None).cast(k).alias(c) for c, k in (("score", "double"), ("char_start", "int"), ("char_end", "int"))], F.col("_skipped").alias("status"))
+    return ran.select(*kept).unionByName(none)
+
+
+def to_search(rows: DataFrame) -> DataFrame:
+    """(doc_id) of the documents that no condition skips for every case."""
+    return rows.where("_skipped IS NULL").select(F.col("document_id").alias("doc_id")).distinct()
 
 
 def latest_log(t: Tables) -> DataFrame:
@@ -177,17 +240,23 @@ def softmax(t: Tables) -> DataFrame:
 
 
 @F.pandas_udf(DoubleType())
-def batched_model(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The seam for a trained model: it is set up once per task and scores Arrow batches."""
-    weights = {"length": 0.01, "sentences": -0.2}
-    for length, sents in parts:
-        yield 1 / (1 + np.exp(-(weights["length"] * length + weights["sentences"] * sents)))
+def batched_model(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The seam for a trained model, from texts to probabilities: it is set up once per task and scores Arrow batches. A null text has none."""
+    words = re.compile("[a-z0-9]+").findall
+
+    def score(text: str | None) -> float | None:
+        if text is None:
+            return None
+        counts = Counter(w for w in words(text.lower()) if w in COEFFICIENTS)
+        return 1 / (1 + math.exp(-(INTERCEPT + sum(COEFFICIENTS[w] * math.sqrt(n) for w, n in counts.items()) / SCALE)))
+
+    for texts in parts:
+        yield texts.map(score).astype("float64")
 
 
-@R.add("UDF4_batched_scores", f"WITH {SENTS} SELECT doc_id, round(1 / (1 + exp(-(0.01 * max(sent_end - sent_start) - 0.2 * count(*)))), 6) score FROM sents GROUP BY 1")
+@R.add("UDF4_batched_scores", f"WITH model(term, coef) AS (VALUES {_VALUES}), tf AS (SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term FROM documents WHERE lang = 'en') GROUP BY 1, 2), z AS (SELECT doc_id, sum(coef * sqrt(tf)) z FROM tf JOIN model USING (term) GROUP BY 1) SELECT doc_id, CASE WHEN text IS NOT NULL THEN round(1 / (1 + exp(-({INTERCEPT} + coalesce(z, 0) / {SCALE}))), 6) END score FROM documents LEFT JOIN z USING (doc_id) WHERE lang = 'en'")
 def batched_scores(t: Tables) -> DataFrame:
-    per = sentences(t.documents).groupBy("doc_id").agg(F.max(F.col("sent_end") - F.col("sent_start")).cast("double").alias("_l"), F.count(F.lit(1)).cast("double").alias("_n"))
-    return per.select("doc_id", F.round(batched_model("_l", "_n"), 6).alias("score"))
+    return t.documents.where("lang = 'en'").select("doc_id", F.round(batched_model("text"), 6).alias("score"))
 
 
 @R.add("OP32_length_analytics", f"""WITH {SEARCH}, p AS (SELECT num_sents, count(*) predicted FROM found GROUP BY 1), o AS (SELECT num_sents, count(*) given FROM sent_spans WHERE num_sents IS NOT NULL GROUP BY 1)

@@ -29,8 +29,7 @@ pts AS (SELECT *, idx_end - idx_start num_sents FROM sp)"""
 def stretched(t: Tables) -> DataFrame:
     """The current points with a quote, stretched to sentences."""
     points = t.current_points(["id", "case_id", "document_id", "service_id", "status", "quote_start", "quote_end"]).where("quote_start IS NOT NULL AND quote_end IS NOT NULL")
-    asked = points.select(F.col("document_id").alias("doc_id")).distinct()
-    return stretch(points, boundary_arrays(sentences(t.documents.select("doc_id", "text").join(asked, "doc_id", "left_semi"))))
+    return stretch(points, t.starts())
 
 
 @R.add("STR1_blank_tags", f"SELECT doc_id, {blank_tags_sql('text')} blanked, length({blank_tags_sql('text')}) = length(text) same_length FROM documents")

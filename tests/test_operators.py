@@ -238,7 +238,18 @@ def test_stream_takes_every_version_once(spark, tmp_path):
     put([(1, "1", "a"), (1, "2", "b")])
     run()
     run()
-    assert rows(spark.read.parquet(f"{tmp_path}/out").select("doc_id", "text_version")) == [(1, "1"), (1, "2"), (2, "1")]
+    out = lambda: rows(spark.read.parquet(f"{tmp_path}/out").select("doc_id", "text_version"))
+    assert out() == [(1, "1"), (1, "2"), (2, "1")]
+    # A stop after the log was written, or before, but without the batch's commit: the batch comes again and leaves the same output.
+    commits = sorted((tmp_path / "cp" / "commits").glob("[0-9]*"))
+    commits[-1].unlink()
+    for p in (tmp_path / "cp" / "commits").glob(f".{commits[-1].name}.*"):
+        p.unlink()
+    run()
+    assert out() == [(1, "1"), (1, "2"), (2, "1")]
+    put([(3, "1", "c")])
+    run_new_versions(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, f"{tmp_path}/log", f"{tmp_path}/other", lambda d: d, f"{tmp_path}/out")
+    assert out() == [(1, "1"), (1, "2"), (2, "1"), (3, "1")]
 
 
 def test_archive_holds_the_package(tmp_path):

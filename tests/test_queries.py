@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
 import verify
+from lexspan.plans import search
 from lexspan.plans.registry import collect
 from tests.conftest import SMALL
 
@@ -40,8 +42,28 @@ def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry_runs(spark):
-    assert entry.entry(spark).count() >= 0
+def test_entry_runs(spark, duck):
+    assert entry.entry(spark).count() == duck.execute(f"SELECT count(*) FROM ({SQL['p3_found']})").fetchone()[0] > 0
+
+
+def test_only_documents_to_run_on_are_searched(spark, monkeypatch):
+    searched = []
+
+    def found(t, docs=None):
+        searched.append({r["doc_id"] for r in docs.select("doc_id").collect()})
+        return search_found(t, docs)
+
+    search_found = search.found
+    monkeypatch.setattr(search, "found", found)
+    run = QUERIES["OP26_run_status"](spark, SMALL).collect()
+    assert searched == [{r["document_id"] for r in run if r["status"].startswith("ran")}]
+    assert {r["document_id"] for r in run} - searched[0]
+
+
+def test_the_rest_works_without_the_subpackage(monkeypatch):
+    """A module of the subpackage that cannot be imported takes nothing else away."""
+    monkeypatch.setitem(sys.modules, "lexspan.llm.sentences", None)
+    assert set(entry.queries()) == set(QUERIES)
 
 
 def test_core_does_not_import_the_subpackage():
