@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.operators.components import components
-from lexspan.sources.tables import materialise, scratch_path, table
+from lexspan.sources.tables import materialise, stored, table
 
 #: Characters in a run, the least letters and digits of a text, and the likeness of a pair.
 RUN, LEAST, LIKE = 8, 200, 0.7
@@ -120,13 +120,6 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), flat(keys, BANDS), flat(sketches, SKETCH_WORDS)], names=["id", "print", "keys", "sketch"])
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """A table written to the shared folder; only the columns asked for are read back."""
-    path = scratch_path(df.sparkSession, "neardup")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """A join whose sides both grow with the data: sorted and merged, never broadcast, whatever size is guessed for them."""
     return left.join(right.hint("merge"), on, how)
@@ -215,7 +208,7 @@ def _candidates(reps: DataFrame, sketches: DataFrame) -> DataFrame:
     blocks by the texts' places in it, and every pair of its blocks is a task's row group of its own.
     """
     keys = reps.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
-    shared = _stored(keys.mapInArrow(_shared_keys, "key bigint, id bigint, place bigint"))
+    shared = stored(keys.mapInArrow(_shared_keys, "key bigint, id bigint, place bigint"))
     small = shared.select(F.col("key").alias("block"), F.lit(-1).alias("side"), "id")
     hot = materialise(shared.where(F.col("place") >= BLOCK).groupBy("key").agg((F.floor(F.max("place") / BLOCK) + 1).cast("int").alias("_n")))
     if not hot.isEmpty():
@@ -305,7 +298,7 @@ def _checked(near: DataFrame, rows: DataFrame, like: float) -> DataFrame:
     both = near.select(F.col("a").alias("id"), F.col("b").alias("_o")).union(near.select(F.col("b").alias("id"), F.col("a").alias("_o")))
     hubs = both.groupBy("id").agg(F.least(F.min("_o"), F.col("id")).alias("_g"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("_k"))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("_k"))
-    routed = _stored(_join(near, hubs.withColumnRenamed("id", "a"), "a").select(F.xxhash64("_g", "_k", part("a"), part("b")).alias("group"), "a", "b"))
+    routed = stored(_join(near, hubs.withColumnRenamed("id", "a"), "a").select(F.xxhash64("_g", "_k", part("a"), part("b")).alias("group"), "a", "b"))
     needs = routed.select("group", F.col("a").alias("id")).union(routed.select("group", F.col("b").alias("id"))).distinct()
     bitmap = near.sparkSession.sparkContext.broadcast(_participants(near))
 
@@ -337,17 +330,17 @@ def similar_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     documents in candidate pairs. Nothing that grows with the data is broadcast or collected; no bucket is capped.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    signed = _stored(rows.mapInArrow(_signatures, "id bigint, print binary, keys array<bigint>, sketch array<bigint>"))
+    signed = stored(rows.mapInArrow(_signatures, "id bigint, print binary, keys array<bigint>, sketch array<bigint>"))
     owners = signed.groupBy("id").agg(F.min("print").alias("print"))
     copies = owners.groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     spread = copies.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = _join(owners.withColumn("_s", F.pmod("id", F.lit(SALTS)).cast("int")), spread, ["print", "_s"], "left")
-    members = _stored(found.select("id", "print", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")))
+    members = stored(found.select("id", "print", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")))
     single = members.where("id = rep").select("id", "print")
     reps = _join(signed.select("id", "print", "keys"), single, ["id", "print"], "left_semi")
     sketches = _join(signed.select("id", "print", "sketch"), single, ["id", "print"], "left_semi").dropDuplicates(["id"]).select("id", "sketch")
-    near = _stored(_candidates(reps, sketches))
-    return members.select("id", "rep", "copies"), _stored(_checked(near, rows, like))
+    near = stored(_candidates(reps, sketches))
+    return members.select("id", "rep", "copies"), stored(_checked(near, rows, like))
 
 
 def expand_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -382,7 +375,7 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, pairs = similar_texts(table(spark, sf_dir, "documents"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     roots = components(pairs).select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
-    linked = _stored(_join(_join(members.where("id = rep").select("rep", "copies"), links, "rep"), roots, "rep"))
+    linked = stored(_join(_join(members.where("id = rep").select("rep", "copies"), links, "rep"), roots, "rep"))
     # A text with copies is looked up in several places, each by a part of them.
     salts = F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     spread = linked.select("rep", "links", "class_id", F.explode(salts).alias("_s"))

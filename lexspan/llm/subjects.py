@@ -30,6 +30,8 @@ SAMPLE = 400
 EVIDENCE, SHARE, LEAST = 5.0, 0.5, 3
 #: Combinations kept while decoding; most subjects of a document.
 BEAM, MOST = 8, 8
+#: Commonest sources of the sample that are features.
+SOURCES = 20
 #: Sentences that must speak for a subject to make it one at all.
 SPOKEN = 2
 SEED = 10
@@ -202,7 +204,8 @@ class Chain:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, subjects: list[str], per_language: int = SAMPLE) -> list[tuple[str, str | None, str | None, dict[str, float]]]:
-    """(text, service, source, share of each subject): about `per_language` labelled documents of each language named by documents.lang.
+    """(text, service, source, share of each subject): about `per_language` labelled documents of each language named by documents.lang,
+    at most 4 * per_language * (languages + 1) of them.
 
     Labels are compared without case and padding; repeated labels weigh more, contradictory ones share the document; labels that name no subject area are left out.
     """
@@ -216,14 +219,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, subjects: list[str], per
         return []
     chance = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / totals[label_code(r["lang"])])) for r in spellings], "_l string, _c double")
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    some = rows.join(F.broadcast(chance), F.col("lang").eqNullSafe(F.col("_l"))).where(draw < F.col("_c")).limit(4 * per_language * (len(totals) + 1)).collect()
+    some = rows.join(F.broadcast(chance), F.col("lang").eqNullSafe(F.col("_l"))).where(draw < F.col("_c")).orderBy(draw, "doc_id").limit(4 * per_language * (len(totals) + 1)).collect()
     return [(r["text"], r["service"], r["source"], {k: v / len(r["_votes"]) for k, v in Counter(r["_votes"]).items()}) for r in some]
 
 
 def fit(sample: list[tuple[str, str | None, str | None, dict[str, float]]], subjects: list[str]) -> tuple[dict, list[str], Chain]:
     """Terms, sources and chain."""
     terms = choose_terms([(t, s, y) for t, s, _, y in sample])
-    sources = [s for s, _ in Counter(s for _, _, s, _ in sample if s).most_common(20)]
+    sources = [s for s, _ in Counter(s for _, _, s, _ in sample if s).most_common(SOURCES)]
     counter = Counts(terms, subjects)
     counted = [counter(t) for t, _, _, _ in sample]
     counts, sizes = np.array([c for c, _ in counted]).reshape(len(sample), len(subjects)), np.array([n for _, n in counted])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm.layout import MARKER, TAG
-from lexspan.sources.tables import scratch_path, table
+from lexspan.sources.tables import stored, table
 
 #: Longest line that is looked at for entries, sides and names (longer ones are one token), longest heading.
 LONGEST, SHORT = 200, 60
@@ -361,13 +361,6 @@ def _evident(base: float) -> F.Column:
     return nats >= F.when(marked, EVIDENCE[2]).when(closed, EVIDENCE[1]).otherwise(EVIDENCE[0])
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """A table written to the shared folder, so that its size is known and small ones are broadcast."""
-    path = scratch_path(df.sparkSession, "template")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _first_tokens(pages: DataFrame, base: float) -> DataFrame:
     """(token): plain tokens found almost only on pages whose structure shows a template."""
     rows = pages.select("host", "seed", F.explode("tokens").alias("token"))
@@ -376,13 +369,13 @@ def _first_tokens(pages: DataFrame, base: float) -> DataFrame:
     sure = rate - F.sqrt(rate * (1 - rate) / F.col("pages")) >= (1 + base) / 2 - 0.02
     plain = F.col("token").bitwiseAND(MARK_BIT | END_BIT) == 0
     chosen = grouped.where((F.col("pages") >= SUPPORT) & (F.col("_a") != F.col("_b")) & sure & plain & _evident(base))
-    return _stored(chosen.select("token"))
+    return stored(chosen.select("token"))
 
 
 def _witnessed(pages: DataFrame, known: DataFrame) -> DataFrame:
     """`pages` with hits: how many known template tokens a page has, and one more if its structure shows a template."""
     rows = pages.select("host", "page", F.explode("tokens").alias("token")).join(known, "token", "left_semi")
-    hits = _stored(rows.groupBy("host", "page").agg(F.count(F.lit(1)).cast("int").alias("_h")))
+    hits = stored(rows.groupBy("host", "page").agg(F.count(F.lit(1)).cast("int").alias("_h")))
     return pages.join(hits, ["host", "page"], "left").select("host", "page", "tokens", "times", (F.coalesce("_h", F.lit(0)) + F.col("seed").cast("int")).alias("hits"))
 
 
@@ -447,19 +440,19 @@ def template_table(docs: DataFrame, text_column: str = "text", url_column: str =
     task. Exact copies of a text on one host are one page, as their vectors would be equal whatever their lines are. The supports do not depend
     on the number of pages, and no vocabulary is collected: its tables stay distributed. A null url gives an empty host; null, empty and blank texts are no pages.
     """
-    pages = _stored(docs.select(F.col(text_column).alias("text"), F.col(url_column).alias("url")).mapInArrow(_pages, _PAGES).dropDuplicates(["host", "page"]))
+    pages = stored(docs.select(F.col(text_column).alias("text"), F.col(url_column).alias("url")).mapInArrow(_pages, _PAGES).dropDuplicates(["host", "page"]))
     shown = pages.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("seed").cast("int")), F.lit(0)).alias("t")).first()
     base = min(0.95, max(0.02, shown["t"] / max(1, shown["n"])))
     first = _first_tokens(pages, base)
     counted = _witnessed(pages, first)
     base = _bearing(counted)
     wider = _nested_tokens(counted, first).where((F.col("pages") >= SUPPORT) & (F.col("hosts") > 1) & (F.col("nested") >= NESTED * F.col("pages")) & (F.col("token").bitwiseAND(MARK_BIT | END_BIT) == 0) & _evident(base))
-    first = _stored(first.union(wider.select("token")).distinct())
+    first = stored(first.union(wider.select("token")).distinct())
     counted = _witnessed(pages, first)
     base = _bearing(counted)
-    vectors = _stored(equivalence_classes(counted, first))
+    vectors = stored(equivalence_classes(counted, first))
     valid = valid_classes(vectors, pages)
-    classed = _stored(vectors.where("pages >= 2").join(valid.hint("merge"), ["host", "vector"]).where("root OR nested = pages").select("host", "token", "root", (F.col("nested") == F.col("pages")).alias("inner")))
+    classed = stored(vectors.where("pages >= 2").join(valid.hint("merge"), ["host", "vector"]).where("root OR nested = pages").select("host", "token", "root", (F.col("nested") == F.col("pages")).alias("inner")))
     known = vectors.groupBy("token").agg(F.sum("pages").alias("pages"), F.sum("nested").alias("nested"), F.count(F.lit(1)).alias("hosts"), F.sum((F.col("pages") >= ROOT).cast("int")).alias("_well"))
     mine = classed.groupBy("token").agg(F.bool_or("inner").alias("_v"), F.sum(F.col("root").cast("int")).alias("_roots"))
     sums = known.join(mine.hint("merge"), "token", "left").withColumn("in_class", F.coalesce("_v", F.lit(False)))
@@ -469,9 +462,9 @@ def template_table(docs: DataFrame, text_column: str = "text", url_column: str =
     accepted = (rate >= NESTED) & ((frequent & _evident(base)) | ((F.col("pages") >= CLASS_SUPPORT) & F.col("in_class") & plain))
     heading = frequent & (F.col("token").bitwiseAND(SHORT_BIT) != 0) & (rate < NESTED)
     own = (F.col("_roots") > 0) & ((F.col("hosts") == 1) | (F.col("_roots") > 1) & (F.col("_roots") >= ROOT_HOSTS * F.col("_well")))
-    judged = _stored(sums.select("token", accepted.alias("accepted"), heading.alias("heading"), F.coalesce(own, F.lit(False)).alias("own")).where("accepted OR heading OR own"))
+    judged = stored(sums.select("token", accepted.alias("accepted"), heading.alias("heading"), F.coalesce(own, F.lit(False)).alias("own")).where("accepted OR heading OR own"))
     roots = classed.where("root").join(judged.where("own AND NOT accepted").hint("merge"), "token", "left_semi")
-    return _stored(judged.where("accepted OR heading").select(F.col("token").alias("key"), F.col("accepted").alias("furniture")).union(roots.select(F.col("token").bitwiseXOR(F.col("host")), F.lit(True))).distinct())
+    return stored(judged.where("accepted OR heading").select(F.col("token").alias("key"), F.col("accepted").alias("furniture")).union(roots.select(F.col("token").bitwiseXOR(F.col("host")), F.lit(True))).distinct())
 
 
 def deduce_template(docs: DataFrame, text_column: str = "text", url_column: str = "url") -> Template:
@@ -527,14 +520,14 @@ def page_furniture(docs: DataFrame, vocabulary: DataFrame, text_column: str = "t
                 yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(lines, pa.list_(pa.int32()))], names=["page", "lines"])
 
     rows = docs.select(page_key(text_column, url_column).alias("page"), F.col(text_column).alias("text"), F.col(url_column).alias("url"))
-    asked = _stored(rows.mapInArrow(ask, "page bigint, sketch binary, keys array<bigint>"))
+    asked = stored(rows.mapInArrow(ask, "page bigint, sketch binary, keys array<bigint>"))
     # A key on a third of all pages is asked for in several places.
     questions = asked.select("page", "keys").dropDuplicates(["page"]).select("page", F.explode("keys").alias("key"), F.pmod("page", F.lit(SALTS)).cast("int").alias("_s"))
     answers = vocabulary.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     one = lambda which: F.collect_set(F.when(which, F.col("key")))
     found = questions.join(answers.hint("merge"), ["key", "_s"]).groupBy("page").agg(one(F.col("furniture")).alias("_tokens"), one(~F.col("furniture")).alias("_headings"))
     told = asked.select("page", "sketch").dropDuplicates(["page"]).join(found.hint("merge"), "page", "left").select("page", "sketch", "_tokens", "_headings")
-    return _stored(told.mapInArrow(answer, "page bigint, lines array<int>"))
+    return stored(told.mapInArrow(answer, "page bigint, lines array<int>"))
 
 
 def with_furniture(docs: DataFrame, found: DataFrame, text_column: str = "text", url_column: str = "url") -> DataFrame:
