@@ -34,7 +34,20 @@ def materialise(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Paths given out in this process, for `clear_scratch`.
+_GIVEN: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the tables written below paths of `scratch_path` so far, once the results that read them are done with; how many paths there were."""
+    count = len(_GIVEN)
+    while _GIVEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """A table written to the shared folder and read again: its size is known, and only the columns asked for are read."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -43,4 +56,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(path)
+    return path

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 from datetime import datetime, timezone
 
 from hypothesis import given, settings
@@ -261,3 +262,11 @@ def test_archive_holds_the_package(tmp_path):
 
     names = zipfile.ZipFile(archive(Path(lexspan.__file__).parents[1], tmp_path / "x.zip")).namelist()
     assert "lexspan/operators/references.py" in names and all(n.endswith(".py") for n in names)
+
+
+def test_scratch_tables_are_cleared(spark):
+    from lexspan.sources.tables import clear_scratch, stored
+
+    df = stored(spark.range(3).toDF("x"), "some")
+    path = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert df.count() == 3 and path.exists() and clear_scratch(spark) >= 1 and not path.exists() and clear_scratch(spark) == 0
