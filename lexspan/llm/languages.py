@@ -418,13 +418,18 @@ class Judge:
                 first = known[own[0]]
                 if first == main or any(known[k] != first for k in own):
                     continue
+                whole = None
                 if sum(size[k] for k in own) < 0.5 * sum(max(size[k], 1) for k in members):
-                    continue
+                    # Sentences too far from all centroids by themselves: the paragraph is judged as a whole.
+                    code, conf, _ = c.classify([" ".join(units[sl.start + k] for k in members)])
+                    if code[0] != first:
+                        continue
+                    whole = float(conf[0])
                 # A quotation with a short lead-in says nothing about its paragraph.
                 shown = sum(mine[k][2] - mine[k][1] for k in members)
                 if sum(size[k] for k in members) < 0.3 * shown:
                     continue
-                lead_in = float(np.average([sure[k] for k in own], weights=[size[k] for k in own]))
+                lead_in = float(np.average([sure[k] for k in own], weights=[size[k] for k in own])) if whole is None else whole
                 if lead_in >= PASSAGE_LEAD:
                     passages.append((c.codes[first], mine[members[0]][1], mine[members[-1]][2], lead_in))
             mine_sure = judged & (known == main)
