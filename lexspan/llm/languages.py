@@ -31,6 +31,10 @@ SEGMENTS, MOST = 6, 9_000
 SPACE, CLUSTERS, ROUNDS = 1 << 15, 3, 8
 #: A segment's least cosine to its centroid, as a share of the mean cosine of the centroid's own segments.
 REJECT = 0.45
+#: Share of its best cosine from which a sampled segment follows the rest of its document.
+FOLLOW = 0.5
+#: Least share of a cluster's segments whose documents are in its language.
+PURE = 0.8
 #: Lead under which a text's best language does not speak against its label.
 LEAD = 0.05
 #: Least mean lead of the sentences of a passage in another language.
@@ -272,17 +276,21 @@ def fit_centroids(sample: list[tuple[str, str | None, float]], clusters: int = C
                 votes[codes[i]] += weight[i]
         code, won = votes.most_common(1)[0] if votes else (None, 0)
         voted.append(code if code and won >= 0.5 * sum(votes.values()) else None)
-    found = sorted({c for c in voted if c})
-    if not found:
-        return Centroids(np.zeros((SPACE, 0), np.float32), idf, [], np.zeros(0))
     dots = cosines(cents)
-    by = np.stack([dots[:, [k for k, c in enumerate(voted) if c == code]].max(axis=1) for code in found], axis=1)
-    # A segment between two languages follows the rest of its document.
-    sums = np.zeros((len(sample), len(found)), np.float32)
-    np.add.at(sums, owners, by)
-    own = by.argmax(axis=1)
-    rest = sums.argmax(axis=1)[owners]
-    own = np.where(by[np.arange(n), rest] >= 0.75 * by[np.arange(n), own], rest, own)
+    for last in (False, True):
+        found = sorted({c for c in voted if c})
+        if not found:
+            return Centroids(np.zeros((SPACE, 0), np.float32), idf, [], np.zeros(0))
+        by = np.stack([dots[:, [k for k, c in enumerate(voted) if c == code]].max(axis=1) for code in found], axis=1)
+        # A segment between two languages follows the rest of its document.
+        sums = np.zeros((len(sample), len(found)), np.float32)
+        np.add.at(sums, owners, by)
+        own = by.argmax(axis=1)
+        rest = sums.argmax(axis=1)[owners]
+        own = np.where(by[np.arange(n), rest] >= FOLLOW * by[np.arange(n), own], rest, own)
+        if not last:
+            # A cluster of what documents of several languages have alike, such as addresses and notices, names no language.
+            voted = [c if c and np.mean(rest[m] == found.index(c)) >= PURE else None for c, m in zip(voted, kept)]
     out, langs, bars = [], [], []
     for k, code in enumerate(found):
         members = np.intersect1d(np.flatnonzero(own == k), nonempty)
